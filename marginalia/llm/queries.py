@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lm, rules, sharding, warc
+from . import langid, lm, rules, sharding, spm, warc
 
-_MODULES = (warc, lm, rules, sharding)
+_MODULES = (warc, spm, lm, rules, sharding, langid)
 
 
 def queries() -> dict:
