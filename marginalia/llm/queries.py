@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, lm, rules, sharding, spm, warc
+from . import langid, lm, rules, sharding, simhash, spm, warc
 
-_MODULES = (warc, spm, lm, rules, sharding, langid)
+_MODULES = (warc, spm, lm, rules, sharding, langid, simhash)
 
 
 def queries() -> dict:
