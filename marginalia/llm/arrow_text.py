@@ -126,3 +126,45 @@ def slices(batches, most_bytes: int = 8 << 20, column: str = "text"):
             end = max(at + 1, int(np.searchsorted(size, base + most_bytes, "right")))
             yield b.slice(at, end - at)
             at = end
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """For each code point a random word for its lower-case form, 0 outside words."""
+    low = folding()
+    return np.where(low == 0, np.uint64(0), mix(low.astype(np.uint64) * _GOLD) | np.uint64(1))
+
+
+_BASE = 0x9E6C63D0876A9A47
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, n of each at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.ones(size, np.uint64)
+            done, step = 1, base
+            while done < size:  # out[done:2*done] = out[:done] * base**done
+                out[done : 2 * done] = out[:done] * np.uint64(step)
+                done, step = 2 * done, step * step % (1 << 64)
+            _powers.append(out)
+    return _powers[0], _powers[1]
+
+
+def hash_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, each text's offsets, and the words' lengths:
+    a polynomial in the letters, read off its running sum over the whole batch."""
+    flat, offs = code_points(texts)
+    value = _letters()[flat]
+    if not len(flat):
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), np.zeros(0, np.int64)
+    inside = np.concatenate([[False], value != 0]).view(np.int8)
+    edge = np.flatnonzero(inside[1:] != inside[:-1])  # each text ends in a 0, so edges come in pairs
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _power_tables(len(flat) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(flat)])])
+    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return h, np.searchsorted(starts, offs), ends - starts

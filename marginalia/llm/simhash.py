@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import mix, ngram_hashes, slices, word_hashes
+from .arrow_text import hash_words, mix, ngram_hashes, slices
 from .shared import cut
 
 MAX_WORD_BITS = 24
@@ -110,7 +110,7 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprints(texts) -> tuple[np.ndarray, np.ndarray]:
     """Three 64-bit words for each text, and whether it has any word at all.
     Words of more than SHORT_WORD letters count, or all where there are none."""
-    h, offs, lens = word_hashes(texts, True)
+    h, offs, lens = hash_words(texts)
     n = len(offs) - 1
     doc = np.repeat(np.arange(n), np.diff(offs))
     long = lens > SHORT_WORD
