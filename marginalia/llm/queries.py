@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lm, rules, sharding, simhash, spm, warc
+from . import decontaminate, langid, lm, pii, rules, secrets, sharding, simhash, spm, warc
 
-_MODULES = (warc, spm, lm, rules, decontaminate, sharding, langid, simhash)
+_MODULES = (warc, spm, pii, lm, rules, decontaminate, sharding, langid, secrets, simhash)
 
 
 def queries() -> dict:
