@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import hash_words, mix, ngram_hashes, slices
-from .shared import cut
+from .shared import cut, unused
 
 SHINGLE = 3
 THRESHOLD = 0.6
@@ -172,8 +172,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
-    bad = cut(contaminated(docs, items, doc_id, text).select(F.col("text_hash").alias("__bad")).distinct())
-    return docs.join(bad, F.xxhash64(F.col(f"`{text}`")) == F.col("__bad"), "left_anti")
+    (name,) = unused(docs, "__bad")
+    bad = cut(contaminated(docs, items, doc_id, text).select(F.col("text_hash").alias(name)).distinct())
+    return docs.join(bad, F.xxhash64(F.col(f"`{text}`")) == F.col(name), "left_anti")
 
 
 QUERY = "op6_minhash_containment"

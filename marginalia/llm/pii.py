@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .shared import cut
+from .shared import columns, cut
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "number")
 CUTOFF = 0.5
@@ -286,4 +286,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))

@@ -9,10 +9,12 @@ A document that fails nothing is kept, whatever its host.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, unused
 
 #: rule -> (hard, soft): numerator times the factor exceeds the denominator.
 RULES = {
@@ -23,6 +25,8 @@ RULES = {
     "long_words": ("n_solid", "n_words * 40", 1, 2),
 }
 HOST_RATE = 0.5
+#: Columns that judge() adds.
+ADDED = ("host_docs", "host_fails", "host_rate", "hard_fails", "soft_fails", "keep")
 _BLANK = "[ \\t\\n\\r]+"
 
 
@@ -54,13 +58,11 @@ def flag(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``hard_fails`` and ``soft_fails``, bit sets over the rules in
     the order of RULES, bit 5 for a text without words (null and '' alike).
     Columns already so called are replaced."""
-    c = "__rules"
+    (c,) = unused(df, "__rules")
     out = df.withColumn(c, F.struct(*[x.cast("bigint").alias(k) for k, x in counts(F.col(f"`{text}`")).items()]))
     deep = {k: f"{c}.{k}" for k in ("n_chars", "n_words", "n_symbols", "n_pipes", "n_upper", "n_letters", "n_adjacent", "n_solid")}
 
     def sql(which: int) -> str:
-        import re
-
         return re.sub(r"n_\w+", lambda m: deep[m.group()], _mask(which))
 
     return out.withColumns({"hard_fails": F.expr(sql(0)).cast("int"), "soft_fails": F.expr(sql(1)).cast("int")}).drop(c)
@@ -87,11 +89,11 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", host_rate: fl
     sums are written to the shared folder first, so that the join back knows
     their size: few hosts are broadcast and no text is shuffled; more hosts than
     the session's threshold are joined by shuffle."""
-    added = ("host_docs", "host_fails", "host_rate", "hard_fails", "soft_fails", "keep")
-    base = df.drop(*added)
+    base = df.drop(*ADDED)
+    (name,) = unused(base, "__host")
     flags = flag(base.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))).select("host", "soft_fails")
-    rates = cut(host_rates(flags)).withColumnRenamed("host", "__host")
-    out = flag(base, text).join(rates, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left").drop("__host")
+    rates = cut(host_rates(flags)).withColumnRenamed("host", name)
+    out = flag(base, text).join(rates, F.col(f"`{host}`").eqNullSafe(F.col(name)), "left").drop(name)
     bad = (F.col("hard_fails") > 0) | ((F.col("soft_fails") > 0) & (F.coalesce(F.col("host_rate"), F.lit(0.0)) > host_rate))
     return out.withColumn("keep", ~bad)
 
@@ -105,7 +107,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs).where("keep").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with all their columns as they were."""
+    own = {c: unused(docs, "__own_" + c)[0] for c in docs.columns if c.lower() in ADDED}
+    kept = judge(docs.withColumnsRenamed(own)).where("keep")
+    return kept.select(*[F.col("`" + own.get(c, c).replace("`", "``") + "`").alias(c) for c in docs.columns])
 
 
 def ctes(table: str = "documents") -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import hash_words, mix, ngram_hashes, slices
-from .shared import cut
+from .shared import columns, cut, unused
 
 MAX_WORD_BITS = 24
 MAX_GRAM_BITS = 18
@@ -294,20 +294,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows and columns of ``docs`` with one row left of each group: that of
     the smallest doc_id (null last), then of the smallest hash of the text, then
     of all columns.  Rows in no group stay, whatever they hold."""
-    columns = docs.columns
+    pick = columns(docs)
     table, placed = _grouped(docs, doc_id, text)
     # whole rows of one id and text stand or fall together, but for their number
     classes = table.join(placed.select("node", "root"), "node").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = classes.groupBy("root").agg(F.min(order).alias("first"))
-    verdict = cut(classes.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n", (order == F.col("first")).alias("stays")))
-    verdict = verdict.where("NOT stays OR n > 1")
-    keyed = docs.withColumn("__text", F.xxhash64(F.col(f"`{text}`")))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    alone = keyed.join(verdict, same, "left_anti")
+    own, id_, hash_, nth = unused(docs, "__own", "__id", "__hash", "__nth")
+    verdict = cut(classes.join(first, "root").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), "n", (order == F.col("first")).alias("stays")))
+    keyed = docs.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_))
+    alone = keyed.join(verdict.where("NOT stays OR n > 1").select(id_, hash_), same, "left_anti")
     # the repeated rows of a class that stays: few, and only they are ranked
-    repeated = keyed.join(verdict.where("stays"), same).withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns])))).where("__n = 1")
-    pick = [F.col(f"`{c}`") for c in columns]
+    many = verdict.where("stays AND n > 1").select(id_, hash_)
+    rank = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.xxhash64(*pick)))
+    repeated = keyed.join(many, same).withColumn(nth, rank).where(F.col(nth) == 1)
     return alone.select(*pick).unionByName(repeated.select(*pick))
 
 
