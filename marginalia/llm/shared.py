@@ -28,6 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that a join may broadcast; about 60 MB of memory where they arrive.
+BROADCAST_ROWS = 1_000_000
+
+
+def lookup(keys: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast if it is small enough (its rows are
+    counted); beyond that the join is left to shuffle both sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores added as no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import hash_words, mix, ngram_hashes, slices
-from .shared import columns, cut, unused
+from .shared import columns, cut, lookup, unused
 
 MAX_WORD_BITS = 24
 MAX_GRAM_BITS = 18
@@ -304,9 +304,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     verdict = cut(classes.join(first, "root").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), "n", (order == F.col("first")).alias("stays")))
     keyed = docs.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_))
-    alone = keyed.join(verdict.where("NOT stays OR n > 1").select(id_, hash_), same, "left_anti")
+    alone = keyed.join(lookup(verdict.where("NOT stays OR n > 1").select(id_, hash_)), same, "left_anti")
     # the repeated rows of a class that stays: few, and only they are ranked
-    many = verdict.where("stays AND n > 1").select(id_, hash_)
+    many = lookup(verdict.where("stays AND n > 1").select(id_, hash_))
     rank = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(F.xxhash64(*pick)))
     repeated = keyed.join(many, same).withColumn(nth, rank).where(F.col(nth) == 1)
     return alone.select(*pick).unionByName(repeated.select(*pick))
