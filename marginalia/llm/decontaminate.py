@@ -10,8 +10,10 @@ least of its bin on the document's side is about exp(-CERTAINTY).  The bins are
 nested, so the signature for the smallest item holds those for larger ones.
 Candidates are verified by exact shingle containment.
 
-Documents meet items in joins on shingle hashes.  A Bloom filter of the items'
-hashes travels with the scan and spares shuffling shingles of no item.
+Documents meet items in a join on shingle hashes.  A Bloom filter of the items'
+hashes travels with the scan, so that only shingles which may be an item's leave
+it, marked if they are in the document's signature: the same join tells the
+candidates and counts what they share.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import hash_words, mix, ngram_hashes, slices
-from .shared import cut, unused
+from .shared import cut, lookup, unused
 
 SHINGLE = 3
 THRESHOLD = 0.6
 CERTAINTY = 5.0
-#: Above so many item shingles no filter is sent along; the joins do all the work.
+#: Item shingles searched in one pass over the documents: a filter of 8 MB.
 FILTER_KEYS = 4_000_000
 LEVELS = 40
 
@@ -80,17 +82,73 @@ def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text"
     return src.mapInArrow(run, f"item_id {src.schema['item_id'].dataType.simpleString()}, item_row bigint, k int, size int, hash bigint, levels bigint")
 
 
-def _filter(hashes: np.ndarray) -> tuple[np.ndarray, int]:
-    """A Bloom filter with two probes: its bytes and the log2 of its bits."""
-    log = max(16, int(len(hashes) * 16 - 1).bit_length())
-    seen = np.zeros(1 << log, bool)
-    for k in (0, 1):
-        seen[_probe(hashes, k, log)] = True
-    return seen, log
+class Bloom:
+    """A Bloom filter of 64-bit hashes with two probes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.log = max(16, int(len(hashes) * 16 - 1).bit_length())
+        seen = np.zeros(1 << self.log, bool)
+        for k in (0, 1):
+            seen[self._at(hashes, k)] = True
+        self.bits = np.packbits(seen, bitorder="little")
+
+    def _at(self, h: np.ndarray, k: int) -> np.ndarray:
+        return ((h if k == 0 else h << np.uint64(20)) >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """Positions of hashes that may be in the set."""
+        maybe = np.arange(len(h))
+        for k in (0, 1):
+            at = self._at(h[maybe], k)
+            maybe = maybe[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        return maybe
+
+
+def _signed(h: np.ndarray, offs: np.ndarray, k: int, bloom: Bloom, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of k words that may be some item's: hash, text, and
+    whether the text's signature holds it."""
+    every, of = _shingles(h, offs, k)
+    at = bloom.hits(every)
+    if not len(at):
+        return every[:0], of[:0], np.zeros(0, bool)
+    some = np.zeros(len(offs) - 1, bool)
+    some[of[at]] = True
+    mine = some[of]  # bins are laid out for the texts with hits alone
+    every, of = every[mine], of[mine]
+    o = np.lexsort((every, of))
+    every, of = every[o], of[o]
+    level = np.ceil(np.log2(np.maximum(1, np.diff(offs) - SHINGLE + 1))).astype(np.int64)
+    signed = _least_of_bin(every, of, _bits(level[of], least)) if k == SHINGLE else np.ones(len(every), bool)
+    new = np.concatenate([[True], (every[1:] != every[:-1]) | (of[1:] != of[:-1])])
+    at = bloom.hits(every[new])
+    return every[new][at], of[new][at], signed[new][at]
+
+
+def _search(src: DataFrame, shingles: DataFrame, kind: str) -> DataFrame:
+    """One pass over the documents for one share of the items."""
+    facts = shingles.agg(F.min(F.when(F.col("k") == SHINGLE, F.col("size"))).alias("least"), F.collect_set("k").alias("ks")).first()
+    ks, least = sorted(facts["ks"]), facts["least"] or 1
+    bloom = Bloom(shingles.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2 << 20, "text"):
+            h, offs, _ = hash_words(b.column(3))
+            level = np.ceil(np.log2(np.maximum(1, np.diff(offs) - SHINGLE + 1))).astype(np.int32)
+            for k in ks:
+                g, doc, signed = _signed(h, offs, k, bloom, least)
+                # a text none of whose signature is an item's is no candidate
+                may = np.zeros(b.num_rows, bool)
+                may[doc[signed]] = True
+                keep = may[doc]
+                g, doc, signed = g[keep], doc[keep], signed[keep]
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(level[doc]), pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(signed)], ["row", "doc_id", "text_hash", "level", "k", "hash", "signed"])
 
-def _probe(h: np.ndarray, k: int, log: int) -> np.ndarray:
-    return (h >> np.uint64(64 - log) if k == 0 else (h << np.uint64(20)) >> np.uint64(64 - log)).astype(np.int64)
+    found = src.mapInArrow(sign, f"row bigint, doc_id {kind}, text_hash bigint, level int, k int, hash bigint, signed boolean")
+    both = found.join(shingles, ["k", "hash"])
+    in_both = F.col("signed") & ((F.col("k") < SHINGLE) | F.expr("shiftright(levels, level) & 1 = 1"))
+    count = both.groupBy("row", "doc_id", "text_hash", "item_id", "item_row", "size").agg(F.count(F.lit(1)).alias("shared"), F.bool_or(in_both).alias("candidate"))
+    return count.where(F.col("candidate") & (F.col("shared") >= THRESHOLD * F.col("size"))).select("doc_id", "item_id", "shared", "size", (F.col("shared") / F.col("size")).alias("containment"), "text_hash")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -103,78 +161,27 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     Null and empty texts contain nothing, items without words are in nothing.
     Repeated documents give repeated rows; equal items (id and text) count once,
     items that share an id but not the text are judged apart.  Texts of any
-    length are read to their end.  Only the named columns are used."""
-    shingles = cut(item_shingles(items, item_id, item_text))
-    facts = shingles.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("k") == SHINGLE, F.col("size"))).alias("least"), F.collect_set("k").alias("ks")).first()
-    ks, least = sorted(facts["ks"]), facts["least"] or 1
-    bloom = None
-    if 0 < facts["n"] <= FILTER_KEYS:
-        got = shingles.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64)
-        bloom = _filter(got.view(np.uint64))
-
-    def hits(h: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles that may be some item's, and their texts."""
-        g, doc = _shingles(h, offs, k)
-        if bloom is None:
-            return g, doc
-        seen, log = bloom
-        maybe = np.flatnonzero(seen[_probe(g, 0, log)])
-        maybe = maybe[seen[_probe(g[maybe], 1, log)]]
-        return g[maybe], doc[maybe]
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2 << 20):
-            h, offs, _ = hash_words(b.column(1))
-            level = np.ceil(np.log2(np.maximum(1, np.diff(offs) - SHINGLE + 1))).astype(np.int64)
-            for k in ks:
-                g, doc = hits(h, offs, k)
-                if k == SHINGLE and len(g):
-                    some = np.zeros(len(offs) - 1, bool)
-                    some[doc] = True
-                    every, of = _shingles(h, offs, k)
-                    mine = some[of]
-                    every, of = every[mine], of[mine]
-                    o = np.lexsort((every, of))
-                    every, of = every[o], of[o]
-                    first = _least_of_bin(every, of, _bits(level[of], least))
-                    minima, of = every[first], of[first]
-                    if bloom is None:
-                        g, doc = minima, of
-                    else:  # the filter's hits among the minima
-                        ok = bloom[0][_probe(minima, 0, bloom[1])]
-                        ok[ok] = bloom[0][_probe(minima[ok], 1, bloom[1])]
-                        g, doc = minima[ok], of[ok]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(level[doc].astype(np.int32)), pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64))], ["text_hash", "level", "k", "hash"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2 << 20):
-            h, offs, _ = hash_words(b.column(3))
-            for k in ks:
-                g, doc = hits(h, offs, k)
-                o = np.lexsort((g, doc))
-                g, doc = g[o], doc[o]
-                new = np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]) if len(g) else np.zeros(0, bool)
-                at = pa.array(doc[new])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.full(int(new.sum()), k, np.int32)), pa.array(g[new].view(np.int64))], ["row", "doc_id", "text_hash", "k", "hash"])
+    length are read to their end.  Only the named columns are used.
 
+    Items are searched in shares of FILTER_KEYS shingles, a pass over the
+    documents each, so that the filter's size is bounded whatever their number."""
+    shingles = cut(item_shingles(items, item_id, item_text))
+    shares = max(1, -(-shingles.count() // FILTER_KEYS))
     kind = docs.select(F.col(f"`{doc_id}`").alias("x")).schema["x"].dataType.simpleString()
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    signed = src.select("text_hash", "text").mapInArrow(sign, "text_hash bigint, level int, k int, hash bigint")
-    signature = shingles.select("item_row", "k", "hash", "levels")
-    in_signature = (F.col("k") < SHINGLE) | F.expr("shiftright(levels, level) & 1 = 1")
-    candidates = cut(signed.join(signature, ["k", "hash"]).where(in_signature).select("text_hash", "item_row").distinct())
-    texts = candidates.select("text_hash").distinct()
-    found = src.join(texts, "text_hash", "left_semi").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "text")
-    found = found.mapInArrow(shared, f"row bigint, doc_id {kind}, text_hash bigint, k int, hash bigint")
-    count = found.join(shingles.select("item_id", "item_row", "k", "size", "hash"), ["k", "hash"]).groupBy("row", "doc_id", "text_hash", "item_id", "item_row", "size").agg(F.count(F.lit(1)).alias("shared"))
-    return count.where(F.col("shared") >= THRESHOLD * F.col("size")).join(candidates, ["text_hash", "item_row"], "left_semi").select("doc_id", "item_id", "shared", "size", (F.col("shared") / F.col("size")).alias("containment"), "text_hash")
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    out = None
+    for share in range(shares):
+        mine = shingles if shares == 1 else shingles.where(F.pmod(F.col("item_row"), F.lit(shares)) == share)
+        one = _search(src, mine, kind)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
     (name,) = unused(docs, "__bad")
     bad = cut(contaminated(docs, items, doc_id, text).select(F.col("text_hash").alias(name)).distinct())
-    return docs.join(bad, F.xxhash64(F.col(f"`{text}`")) == F.col(name), "left_anti")
+    return docs.join(lookup(bad), F.xxhash64(F.col(f"`{text}`")) == F.col(name), "left_anti")
 
 
 QUERY = "op6_minhash_containment"
