@@ -204,20 +204,20 @@ class Model:
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
         prefix = self._prefix(chars)
         found = [None, *(self._probe(self._hash(chars, k, prefix)) for k in range(1, min(self.most, size) + 1))]
-        best = np.full((n, size + 1), -np.inf)
+        best = np.full((n, size + 1), -np.inf, np.float32)  # as the library adds scores, so that near ties fall alike
         best[:, 0] = 0
         step, last = np.zeros((n, size + 1), np.int64), np.full((n, size + 1), self.n, np.int64)
         for end in range(1, size + 1):
             if self.bpe:
                 self._bpe_step(end, found, step, last)
                 continue
-            ks = range(1, min(self.most, end) + 1)
+            ks = range(min(self.most, end), 0, -1)  # of equal scores the longest last piece wins
             cand = np.stack([found[k][:, end - k] for k in ks], 1)
             value = np.stack([best[:, end - k] for k in ks], 1)
-            cand[cand[:, 0] < 0, 0] = self.n
-            value = np.where(cand >= 0, value + np.where(cand == self.n, self.low, self.score[np.clip(cand, 0, self.n - 1)]), -np.inf)
+            cand[cand[:, -1] < 0, -1] = self.n
+            value = np.where(cand >= 0, value + np.where(cand == self.n, self.low, self.score[np.clip(cand, 0, self.n - 1)]).astype(np.float32), np.float32(-np.inf))
             pick, row = value.argmax(1), np.arange(n)
-            best[:, end], step[:, end], last[:, end] = value[row, pick], pick + 1, cand[row, pick]
+            best[:, end], step[:, end], last[:, end] = value[row, pick], ks.start - pick, cand[row, pick]
         at, out = np.full(n, size), []
         live = np.arange(n)
         while len(live):
