@@ -81,19 +81,25 @@ def host_rates(flags: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(prior)).select("host", "host_docs", "host_fails", ((F.col("host_fails") + F.col("a")) / (F.col("host_docs") + F.col("a") + F.col("b"))).alias("host_rate"))
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE, with_text: bool = True) -> DataFrame:
     """``df`` with host_docs, host_fails, host_rate, hard_fails, soft_fails, keep.
 
     One row per row of ``df``: repeated rows and null ids are judged like others,
     an empty table gives an empty one, and same-named columns are replaced.  Host
     sums are written to the shared folder first, so that the join back knows
     their size: few hosts are broadcast and no text is shuffled; more hosts than
-    the session's threshold are joined by shuffle."""
+    the session's threshold are joined by shuffle.  Without ``with_text`` the text
+    column is left out of the result; the flagged rows are then written too, and
+    the rules run once instead of twice."""
     base = df.drop(*ADDED)
     (name,) = unused(base, "__host")
-    flags = flag(base.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))).select("host", "soft_fails")
-    rates = cut(host_rates(flags)).withColumnRenamed("host", name)
-    out = flag(base, text).join(rates, F.col(f"`{host}`").eqNullSafe(F.col(name)), "left").drop(name)
+    if with_text:
+        flagged, flags = flag(base, text), flag(base.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")))
+    else:
+        flagged = cut(flag(base, text).drop(text))
+        flags = flagged.select(F.col(f"`{host}`").alias("host"), "soft_fails")
+    rates = cut(host_rates(flags.select("host", "soft_fails"))).withColumnRenamed("host", name)
+    out = flagged.join(rates, F.col(f"`{host}`").eqNullSafe(F.col(name)), "left").drop(name)
     bad = (F.col("hard_fails") > 0) | ((F.col("soft_fails") > 0) & (F.coalesce(F.col("host_rate"), F.lit(0.0)) > host_rate))
     return out.withColumn("keep", ~bad)
 
@@ -102,7 +108,7 @@ QUERY = "op5_host_quality_rules"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), with_text=False)
     return out.select("doc_id", "source", "hard_fails", "soft_fails", "host_docs", "host_fails", F.round("host_rate", 9).alias("host_rate"), "keep")
 
 

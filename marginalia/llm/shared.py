@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; only a session that names no
-    such folder (a test) gets a temporary one."""
+    """A new path under ``spark.checkpoint.dir``, in the application's own folder,
+    which can be removed when the application has ended; only a session that
+    names no such setting (a test) gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
