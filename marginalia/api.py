@@ -15,16 +15,18 @@ _ORDER = ("id", "ordinal")
 
 
 class _Tables:
-    """The comments and statistics of decoded files, kept in memory or on disk."""
+    """Decoded files, kept in memory or on disk."""
 
-    def __init__(self, parts: DataFrame):
-        self.parts = parts.persist()
-        self.comments = ops.comments(self.parts).persist()
-        self.stats = ops.document_stats(self.parts, self.comments)
+    def __init__(self, files: DataFrame):
+        self.files = files.persist()
+        self.stats = ops.document_stats(self.files)
+
+    @property
+    def comments(self) -> DataFrame:
+        return ops.full(self.files)
 
     def release(self) -> None:
-        self.comments.unpersist()
-        self.parts.unpersist()
+        self.files.unpersist()
 
 
 class DocxParser:
@@ -41,8 +43,8 @@ class DocxParser:
         if self._tables:
             self._tables.release()
             self._tables = None
-        tables = _Tables(archives.read_paths(self.spark, [path]))
-        failed = ops.errors(tables.parts).first()
+        tables = _Tables(archives.read_paths(self.spark, [path], fields=archives.ALL_FIELDS))
+        failed = ops.errors(tables.files).first()
         if failed:
             tables.release()
             raise raised(failed["error_kind"], failed["message"])
@@ -63,16 +65,17 @@ class DocxParser:
         return self._tables.stats.first()
 
     def find_by_id(self, ident: int) -> Row | None:
-        return ops.find_by_id(self.df, ident).first()
+        return self.df.where(F.col("id") == ident).orderBy(F.desc("ordinal")).first()
 
     def by_author(self, author: str) -> list[Row]:
-        return ops.by_author(self.df, author).orderBy(*_ORDER).collect()
+        return self.df.where(F.col("author") == author).orderBy(*_ORDER).collect()
 
     def root_comments(self) -> list[Row]:
-        return ops.root_comments(self.df).orderBy(*_ORDER).collect()
+        return self.df.where(~F.col("is_reply")).orderBy(*_ORDER).collect()
 
     def thread(self, root: int) -> list[Row]:
-        return ops.thread(self.df, root).orderBy("position").collect()
+        self.df  # noqa: B018 - raises if nothing was parsed
+        return ops.thread(self._tables.files, root).orderBy("position").collect()
 
 
 class BatchParser:
@@ -90,9 +93,9 @@ class BatchParser:
         self._errors: dict[str, str] = {}
 
     def parse_all(self, paths: list[str]) -> BatchParser:
-        tables = _Tables(archives.read_paths(self.spark, list(paths), partitions=self.max_threads or None))
-        self._errors |= {r["file_path"]: r["message"] for r in ops.errors(tables.parts).collect()}
-        good = tables.parts.where("error_kind IS NULL").select("file_path").collect()
+        tables = _Tables(archives.read_paths(self.spark, list(paths), partitions=self.max_threads or None, fields=archives.ALL_FIELDS))
+        self._errors |= {r["file_path"]: r["message"] for r in ops.errors(tables.files).collect()}
+        good = tables.files.where("error_kind IS NULL").select("file_path").collect()
         self._home |= {r["file_path"]: tables for r in good}
         self._tables.append(tables)
         return self

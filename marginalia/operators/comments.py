@@ -1,197 +1,102 @@
-"""Comments, their threads and their statistics, from decoded files.
+"""Comments, threads and statistics of decoded files, one row per file.
 
-Every join is within a file, so every key starts with ``file_path``; the rows of
-a file meet in one partition, and no step sees more than one file at once."""
+A file's comments are an array in its row, so whatever concerns one file is an
+expression on that row: no join and no shuffle.  ``files`` below is the result of
+``archives.parse`` with ``fields``."""
 
 from __future__ import annotations
 
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import truncate_utf8
-
-ANCHOR_BYTES, SNIPPET_BYTES = 240, 120
-REPLY = "array<struct<id:int,author:string,date:string,text_snippet:string>>"
-
-
-def raw(parts: DataFrame, column: str) -> DataFrame:
-    """One row for each element of an array column of readable files."""
-    return parts.where("error_kind IS NULL").select("file_path", F.inline(column))
-
-
-def errors(parts: DataFrame) -> DataFrame:
-    """file_path, error_kind, message: one row per file that couldn't be read."""
-    return parts.where("error_kind IS NOT NULL").select("file_path", "error_kind", "message")
-
-
-def zip_entries(parts: DataFrame) -> DataFrame:
-    """The directory of every file whose container is readable."""
-    return parts.select("file_path", F.inline("entries"))
-
-
-def _is_last(*keys: str):
-    return F.col("ordinal") == F.max("ordinal").over(Window.partitionBy("file_path", *keys))
-
-
-def flags(parts: DataFrame) -> DataFrame:
-    """Comments with their own attributes, paragraph ids, done flags and parents:
-    everything but lists."""
-    # a key is null where the row has nothing to look up
-    c = raw(parts, "comments").withColumn("last_id", _is_last("id")).withColumn("ex_key", F.when((F.col("para_id") != "") & _is_last("para_id"), F.col("para_id")))
-    # resolution state: the last entry per paragraph id, for the last comment with it
-    ex = raw(parts, "comments_ex").groupBy("file_path", F.col("para_id").alias("ex_key")).agg(F.max_by(F.struct("para_id_parent", "done"), "ordinal").alias("ex"))
-    c = c.join(ex, ["file_path", "ex_key"], "left").withColumns({"para_id_parent": F.coalesce("ex.para_id_parent", F.lit("")), "done": F.coalesce("ex.done", F.lit(False))}).drop("ex_key", "ex")
-    # only now the fallback ids: the k-th entry of an id fills the k-th comment without one
-    empty = F.col("para_id") == ""
-    nth = F.row_number().over(Window.partitionBy("file_path", "id", empty).orderBy("ordinal"))
-    c = c.withColumn("slot", F.when(empty, nth))
-    ids = raw(parts, "comment_ids").where("para_id <> ''").withColumn("slot", F.row_number().over(Window.partitionBy("file_path", "id").orderBy("ordinal")))
-    ids = ids.select("file_path", "id", "slot", F.col("para_id").alias("given"))
-    c = c.join(ids, ["file_path", "id", "slot"], "left").withColumn("para_id", F.coalesce("given", "para_id")).drop("slot", "given")
-    # parents, by paragraph ids as they are now
-    c = c.withColumn("parent_key", F.nullif("para_id_parent", F.lit("")))
-    target = c.where("para_id <> ''").groupBy("file_path", F.col("para_id").alias("parent_key")).agg(F.max_by("id", "ordinal").alias("parent_id"))
-    c = c.join(target, ["file_path", "parent_key"], "left").drop("parent_key")
-    return c.withColumns({"is_reply": F.col("parent_id").isNotNull(), "parent_id": F.coalesce("parent_id", F.lit(-1))})
-
-
-def replies(c: DataFrame) -> DataFrame:
-    """file_path, id, replies: the direct replies of a comment, in file order."""
-    ref = F.struct("ordinal", "id", "author", "date", truncate_utf8(F.col("text"), SNIPPET_BYTES).alias("text_snippet"))
-    grouped = c.where("is_reply AND parent_id >= 0").groupBy("file_path", F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(ref)).alias("refs"))
-    return grouped.select("file_path", "id", F.transform("refs", lambda r: F.struct(r.id.alias("id"), r.author.alias("author"), r.date.alias("date"), r.text_snippet.alias("text_snippet"))).alias("replies"))
-
-
-def _thread_rows(table: pa.Table) -> pa.Table:
-    """Breadth-first order below every root of one file.  A comment isn't entered
-    again below itself, so equal ids can't make it endless."""
-    path = table.column("file_path")[0].as_py()
-    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("ordinal", "id", "parent_id", "is_reply")), strict=True))
-    ids = {r[1] for r in rows}
-    below: dict[int, list[int]] = {}
-    for _, ident, parent, reply in rows:
-        if reply and parent >= 0:
-            below.setdefault(parent, []).append(ident)
-    twice = len(ids) < len(rows)
-    ordinals, threads = [], []
-    for ordinal, ident, _, reply in rows:
-        if reply:
-            continue
-        chain, above = [ident], [-1]
-        for head in range(1 << 62):
-            if head >= len(chain):
-                break
-            for child in below.get(chain[head], ()):
-                if twice or child == ident:
-                    at = head
-                    while at >= 0 and chain[at] != child:
-                        at = above[at]
-                    if at >= 0:
-                        continue
-                chain.append(child)
-                above.append(head)
-        ordinals.append(ordinal)
-        threads.append(chain)
-    return pa.table({"file_path": pa.array([path] * len(ordinals), pa.string()), "ordinal": pa.array(ordinals, pa.int32()), "thread_ids": pa.array(threads, pa.list_(pa.int32()))})
-
-
-def thread_ids(c: DataFrame) -> DataFrame:
-    """file_path, ordinal, thread_ids for every root: the whole closure of its
-    replies, level by level, whatever its depth."""
-    return c.select("file_path", "ordinal", "id", "parent_id", "is_reply").groupBy("file_path").applyInArrow(_thread_rows, "file_path string, ordinal int, thread_ids array<int>")
-
-
-def anchors(parts: DataFrame) -> DataFrame:
-    return raw(parts, "anchors").select("file_path", "id", truncate_utf8(F.col("anchor_text"), ANCHOR_BYTES).alias("referenced_text"))
-
-
-def comments(parts: DataFrame) -> DataFrame:
-    """One row per comment with all its fields.  What is missing is '', -1, false
-    or an empty list, never null.  What is looked up by id goes to the last
-    comment of that id in its file."""
-    c = flags(parts)
-    looked_up = c.withColumn("id_key", F.when(F.col("last_id"), F.col("id")))
-    lists = replies(c).withColumnRenamed("id", "id_key")
-    texts = anchors(parts).withColumnRenamed("id", "id_key")
-    out = looked_up.join(lists, ["file_path", "id_key"], "left").join(texts, ["file_path", "id_key"], "left").join(thread_ids(c), ["file_path", "ordinal"], "left")
-    none = F.lit("")
-    return out.select(
-        "file_path", "ordinal", "id", "author", "date", "initials", "text", "paragraph_style",
-        none.alias("range_start_para_id"), none.alias("range_end_para_id"), F.coalesce("referenced_text", none).alias("referenced_text"),
-        "is_reply", "parent_id", F.coalesce("replies", F.array().cast(REPLY)).alias("replies"), "para_id", "para_id_parent", "done",
-        F.lit(-1).alias("paragraph_index"), F.lit(-1).alias("run_index"), F.coalesce("thread_ids", F.array().cast("array<int>")).alias("thread_ids"),
-    )
-
+from .relational import errors, overlaps, zip_entries
 
-def _date(agg) -> F.Column:
-    return F.coalesce(agg(F.nullif(F.col("date"), F.lit(""))), F.lit(""))
+__all__ = ["as_json", "author_stats", "by_author", "comments", "corpus_stats", "document_stats", "errors", "find_by_id", "overlaps", "replies", "root_comments", "thread", "zip_entries"]
+#: The fields that each of these asks of ``archives.parse``.
+STATS_FIELDS = ("ordinal", "author", "date", "is_reply", "done")
+#: A comment's 18 fields, in their order; four are never filled.
+COLUMNS = ("id", "author", "date", "initials", "text", "paragraph_style", "range_start_para_id", "range_end_para_id", "referenced_text", "is_reply", "parent_id", "replies", "para_id", "para_id_parent", "done", "paragraph_index", "run_index", "thread_ids")
 
 
-def measures() -> list:
-    """The statistics of a group of comments."""
-    return [
-        F.count("ordinal").alias("total_comments"),
-        F.count_if("done").alias("total_resolved"),
-        F.count_if("is_reply").alias("total_replies"),
-        F.count_if(~F.col("is_reply")).alias("total_root_comments"),
-        F.array_sort(F.collect_set("author")).alias("unique_authors"),
-        _date(F.min).alias("earliest_date"),
-        _date(F.max).alias("latest_date"),
-    ]
+def comments(files: DataFrame) -> DataFrame:
+    """One row per comment of readable files, with file_path and the fields that
+    were asked for.  What is missing in a file is '', -1, false or an empty list."""
+    return files.where("error_kind IS NULL").select("file_path", F.inline("comments"))
 
 
-def document_stats(parts: DataFrame, c: DataFrame | None = None) -> DataFrame:
-    """One row per readable file, those without comments included (all zero)."""
-    c = flags(parts) if c is None else c
-    files = parts.where("error_kind IS NULL").select("file_path").distinct()
-    return files.join(c, "file_path", "left").groupBy("file_path").agg(*measures())
+def full(files: DataFrame) -> DataFrame:
+    """comments() of files decoded with all fields: file_path, ordinal, COLUMNS."""
+    empty, none = F.lit(""), F.lit(-1)
+    fixed = {"range_start_para_id": empty, "range_end_para_id": empty, "paragraph_index": none, "run_index": none}
+    return comments(files).withColumns(fixed).select("file_path", "ordinal", *COLUMNS)
 
 
-def author_stats(c: DataFrame) -> DataFrame:
-    return c.groupBy("file_path", "author").agg(F.count(F.lit(1)).alias("n_comments"), F.count_if("done").alias("n_resolved"))
+def _extreme(pick, dates: Column) -> Column:
+    return F.coalesce(pick(F.filter(dates, lambda d: d != "")), F.lit(""))
 
 
-def corpus_stats(c: DataFrame) -> DataFrame:
-    return c.agg(*measures())
+def document_stats(files: DataFrame) -> DataFrame:
+    """One row per readable file, those without comments included (all zero)."""
+    c = F.col("comments")
+    return files.where("error_kind IS NULL").select(
+        "file_path",
+        F.size(c).cast("bigint").alias("total_comments"),
+        F.size(F.filter(c, lambda x: x.done)).cast("bigint").alias("total_resolved"),
+        F.size(F.filter(c, lambda x: x.is_reply)).cast("bigint").alias("total_replies"),
+        F.size(F.filter(c, lambda x: ~x.is_reply)).cast("bigint").alias("total_root_comments"),
+        F.array_sort(F.array_distinct(c.author)).alias("unique_authors"),
+        _extreme(F.array_min, c.date).alias("earliest_date"),
+        _extreme(F.array_max, c.date).alias("latest_date"),
+    )
+
+
+def author_stats(files: DataFrame) -> DataFrame:
+    """file_path, author, n_comments, n_resolved; one shuffle, of partial sums."""
+    return comments(files).groupBy("file_path", "author").agg(F.count(F.lit(1)).alias("n_comments"), F.count_if("done").alias("n_resolved"))
+
+
+def corpus_stats(files: DataFrame) -> DataFrame:
+    """The statistics of all files together, in one row."""
+    date = F.nullif(F.col("date"), F.lit(""))
+    return comments(files).agg(
+        F.count(F.lit(1)).alias("total_comments"), F.count_if("done").alias("total_resolved"), F.count_if("is_reply").alias("total_replies"), F.count_if(~F.col("is_reply")).alias("total_root_comments"),
+        F.array_sort(F.collect_set("author")).alias("unique_authors"), F.coalesce(F.min(date), F.lit("")).alias("earliest_date"), F.coalesce(F.max(date), F.lit("")).alias("latest_date"),
+    )
 
 
-def find_by_id(c: DataFrame, ident: int) -> DataFrame:
+def find_by_id(files: DataFrame, ident: int) -> DataFrame:
     """In each file the last comment with that id."""
-    return c.where(F.col("id") == ident).withColumn("__last", _is_last("id")).where("__last").drop("__last")
+    hit = F.try_element_at(F.filter("comments", lambda c: c.id == ident), F.lit(-1))
+    return files.where("error_kind IS NULL").select("file_path", hit.alias("c")).where("c IS NOT NULL").select("file_path", "c.*")
 
 
-def by_author(c: DataFrame, author: str) -> DataFrame:
-    return c.where(F.col("author") == author)
+def by_author(files: DataFrame, author: str) -> DataFrame:
+    return comments(files).where(F.col("author") == author)
 
 
-def root_comments(c: DataFrame) -> DataFrame:
-    return c.where(~F.col("is_reply"))
+def root_comments(files: DataFrame) -> DataFrame:
+    return comments(files).where(~F.col("is_reply"))
 
 
-def thread(c: DataFrame, root: int | None = None) -> DataFrame:
-    """Comments of a thread (or of all) in its order: root_id, position and the
-    comment's columns."""
-    roots = c.where(F.size("thread_ids") > 0)
-    if root is not None:
-        roots = find_by_id(roots, root)
-    members = roots.select("file_path", F.col("id").alias("root_id"), F.posexplode("thread_ids").alias("position", "id"))
-    last = c.withColumn("__last", _is_last("id")).where("__last").drop("__last")
-    return members.join(last, ["file_path", "id"])
+def replies(files: DataFrame) -> DataFrame:
+    """file_path, id and replies of every comment that has direct replies."""
+    return comments(files).where(F.size("replies") > 0).select("file_path", "id", "replies")
 
 
-def as_json(c: DataFrame) -> DataFrame:
+def thread(files: DataFrame, root: int | None = None) -> DataFrame:
+    """Comments of a thread (or of all) in its order: root_id, position and the
+    comment's columns.  Unknown ids and those of replies have no thread.  Asks for
+    the field thread_ordinals, which are places in the file's array."""
+    found = files.where("error_kind IS NULL").select("file_path", "comments")
+    if root is None:
+        roots = found.select("file_path", F.explode(F.filter("comments", lambda c: F.size(c.thread_ordinals) > 0)).alias("r"), "comments")
+    else:
+        hit = F.try_element_at(F.filter("comments", lambda c: c.id == root), F.lit(-1))
+        roots = found.select("file_path", hit.alias("r"), "comments").where("size(r.thread_ordinals) > 0")
+    members = F.transform(F.col("r.thread_ordinals"), lambda i: F.col("comments")[i])
+    return roots.select("file_path", F.col("r.id").alias("root_id"), F.posexplode(members).alias("position", "c")).select("file_path", "root_id", "position", "c.*")
+
+
+def as_json(files: DataFrame) -> DataFrame:
     """file_path, ordinal and the comment as a JSON object of its 18 fields."""
-    return c.select("file_path", "ordinal", F.to_json(F.struct(*[x for x in c.columns if x not in ("file_path", "ordinal")])).alias("json"))
-
-
-def overlaps(events: DataFrame) -> DataFrame:
-    """The relational form of range accumulation over rows of (file_path, seq,
-    what, id, text): each range gets the text of the runs that end inside it."""
-    start = events.where("what = 'start'").select("file_path", "id", F.col("seq").alias("s"))
-    end = events.where("what = 'end'").select("file_path", "id", F.col("seq").alias("e"))
-    run = events.where("what = 'text'").select("file_path", "seq", "text")
-    ranges = start.join(end, ["file_path", "id"]).where("s < e")
-    inside = ranges.join(run, ["file_path"]).where("seq BETWEEN s AND e")
-    return inside.groupBy("file_path", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("anchor_text"))
+    return full(files).select("file_path", "ordinal", F.to_json(F.struct(*COLUMNS)).alias("json"))

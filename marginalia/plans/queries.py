@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import comments as ops
+from marginalia.operators import relational
 from marginalia.sources import archives, document
 from marginalia.sources.staging import stage
 
@@ -18,12 +19,8 @@ NO_BODY = (document.COMMENTS, document.EXTENDED, document.IDS)
 ONLY_COMMENTS = (document.COMMENTS,)
 
 
-def _parts(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = NO_BODY) -> DataFrame:
-    return stage(archives.parse(corpus.conversations(spark, sf_dir, document.BODY in parts), parts))
-
-
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.flags(_parts(spark, sf_dir))
+def _files(spark: SparkSession, sf_dir: str, *fields: str, parts: tuple[str, ...] = NO_BODY) -> DataFrame:
+    return archives.parse(corpus.conversations(spark, sf_dir, document.BODY in parts), parts, fields)
 
 
 def _list(column: str) -> F.Column:
@@ -31,88 +28,99 @@ def _list(column: str) -> F.Column:
 
 
 def comments_all(spark, sf_dir):
-    c = ops.raw(_parts(spark, sf_dir, ONLY_COMMENTS), "comments")
-    return c.select("file_path", "id", "author", "date", "initials", "text", "paragraph_style", "para_id")
+    files = _files(spark, sf_dir, "id", "author", "date", "initials", "text", "paragraph_style", "para_id", parts=ONLY_COMMENTS)
+    return ops.comments(files)
 
 
 def comments_full(spark, sf_dir):
-    c = ops.comments(_parts(spark, sf_dir, document.PARTS))
-    return c.select("file_path", "ordinal", "id", "author", "date", "initials", "text", "paragraph_style", "range_start_para_id", "range_end_para_id", "referenced_text", "is_reply", "parent_id", F.size("replies").alias("n_replies"), "para_id", "para_id_parent", "done", "paragraph_index", "run_index", F.size("thread_ids").alias("n_thread"))
+    c = ops.full(_files(spark, sf_dir, *archives.ALL_FIELDS, parts=document.PARTS))
+    return c.withColumns({"n_replies": F.size("replies"), "n_thread": F.size("thread_ids")}).drop("replies", "thread_ids")
+
+
+def comments_relational(spark, sf_dir):
+    """The same by relations over the parts as separate tables, decoded once."""
+    parts = stage(archives.parse(corpus.conversations(spark, sf_dir)))
+    c = relational.comments(parts)
+    return c.withColumns({"n_replies": F.size("replies"), "n_thread": F.size("thread_ids")}).drop("replies", "thread_ids")
 
 
 def comments_by_author(spark, sf_dir):
-    return ops.by_author(_flags(spark, sf_dir), "user").select("file_path", "id", "text")
+    return ops.by_author(_files(spark, sf_dir, "id", "author", "text"), "user").select("file_path", "id", "text")
 
 
 def comment_by_id(spark, sf_dir):
-    return ops.find_by_id(_flags(spark, sf_dir), 0).select("file_path", "id", "author", "text")
+    return ops.find_by_id(_files(spark, sf_dir, "id", "author", "text"), 0)
 
 
 def root_comments(spark, sf_dir):
-    return ops.root_comments(_flags(spark, sf_dir)).select("file_path", "id", "author", "date")
+    return ops.root_comments(_files(spark, sf_dir, "id", "author", "date", "is_reply")).select("file_path", "id", "author", "date")
 
 
 def replies_with_parent(spark, sf_dir):
-    c = _flags(spark, sf_dir)
-    p = c.select("file_path", F.col("id").alias("parent_id"), F.col("author").alias("parent_author"))
-    return c.where("is_reply").join(p, ["file_path", "parent_id"]).select("file_path", "id", "parent_id", "author", "parent_author", "para_id_parent")
+    c = ops.comments(_files(spark, sf_dir, "id", "author", "replies", "para_id"))
+    return c.select("file_path", F.col("id").alias("parent_id"), F.col("author").alias("parent_author"), F.col("para_id").alias("para_id_parent"), F.inline("replies")).select("file_path", "id", "parent_id", "author", "parent_author", "para_id_parent")
 
 
 def reply_refs(spark, sf_dir):
-    r = ops.replies(_flags(spark, sf_dir))
+    r = ops.replies(_files(spark, sf_dir, "id", "replies"))
     return r.select("file_path", "id", F.array_join(F.transform("replies", lambda x: F.concat_ws("|", x.id.cast("string"), x.author, x.date, x.text_snippet)), "~").alias("replies"))
 
 
 def thread_ids(spark, sf_dir):
-    c = _flags(spark, sf_dir)
-    return ops.thread_ids(c).join(c, ["file_path", "ordinal"]).select("file_path", "id", _list("thread_ids"))
+    c = ops.comments(_files(spark, sf_dir, "id", "thread_ids"))
+    return c.where("size(thread_ids) > 0").select("file_path", "id", _list("thread_ids"))
 
 
 def thread_expand(spark, sf_dir):
-    c = ops.comments(_parts(spark, sf_dir))
-    return ops.thread(c).select("file_path", "root_id", "position", "id", "author")
+    return ops.thread(_files(spark, sf_dir, "id", "author", "thread_ordinals")).select("file_path", "root_id", "position", "id", "author")
 
 
 def resolved_comments(spark, sf_dir):
-    return _flags(spark, sf_dir).where("done").select("file_path", "id", "para_id")
+    return ops.comments(_files(spark, sf_dir, "id", "para_id", "done")).where("done").select("file_path", "id", "para_id")
 
 
 def document_stats(spark, sf_dir):
-    s = ops.document_stats(_parts(spark, sf_dir))
+    s = ops.document_stats(_files(spark, sf_dir, *ops.STATS_FIELDS))
     return s.withColumn("unique_authors", F.array_join("unique_authors", ","))
 
 
 def author_stats(spark, sf_dir):
-    return ops.author_stats(_flags(spark, sf_dir))
+    return ops.author_stats(_files(spark, sf_dir, "author", "done"))
 
 
 def corpus_stats(spark, sf_dir):
-    return ops.corpus_stats(_flags(spark, sf_dir)).withColumn("unique_authors", F.array_join("unique_authors", ","))
+    return ops.corpus_stats(_files(spark, sf_dir, *ops.STATS_FIELDS)).withColumn("unique_authors", F.array_join("unique_authors", ","))
 
 
 def anchor_text(spark, sf_dir):
-    return ops.anchors(_parts(spark, sf_dir, document.PARTS))
+    c = ops.comments(_files(spark, sf_dir, "id", "referenced_text", parts=document.PARTS))
+    return c.where("referenced_text <> ''")
+
+
+def anchor_text_relational(spark, sf_dir):
+    """Anchors cut by the built-in expression."""
+    return relational.anchors(archives.parse(corpus.conversations(spark, sf_dir), (document.COMMENTS, document.BODY)))
 
 
 def ids_fallback(spark, sf_dir):
-    parts = stage(archives.parse(corpus.without_paragraph_ids(spark, sf_dir), NO_BODY))
-    return ops.flags(parts).select("file_path", "id", "para_id", "is_reply", "parent_id", "done")
+    fields = ("id", "para_id", "is_reply", "parent_id", "done")
+    return ops.comments(archives.parse(corpus.without_paragraph_ids(spark, sf_dir), NO_BODY, fields))
 
 
 def duplicate_ids_last_wins(spark, sf_dir):
-    parts = stage(archives.parse(corpus.equal_ids(spark, sf_dir), NO_BODY))
-    c = ops.flags(parts)
-    return c.where("last_id").select("file_path", "id", "author", "text")
+    """Of equal ids the one that lookups find."""
+    c = ops.comments(archives.parse(corpus.equal_ids(spark, sf_dir), NO_BODY, ("ordinal", "id", "author", "text")))
+    return c.groupBy("file_path", "id").agg(F.max_by("author", "ordinal").alias("author"), F.max_by("text", "ordinal").alias("text"))
 
 
 def overlapping_ranges(spark, sf_dir):
-    parts = stage(archives.parse(corpus.overlapping(spark, sf_dir), (document.COMMENTS, document.BODY)))
-    return ops.raw(parts, "anchors").select("file_path", "id", "anchor_text")
+    parts = archives.parse(corpus.overlapping(spark, sf_dir), (document.COMMENTS, document.BODY))
+    return relational.raw(parts, "anchors").select("file_path", "id", "anchor_text")
 
 
 def entity_roundtrip(spark, sf_dir):
-    parts = archives.parse(corpus.pages(spark, sf_dir), ONLY_COMMENTS)
-    return ops.raw(parts, "comments").select(F.substring("file_path", 6, 40).cast("bigint").alias("page_id"), F.col("author").alias("url"), F.col("text").alias("html"))
+    c = ops.comments(archives.parse(corpus.pages(spark, sf_dir), ONLY_COMMENTS, ("author", "text")))
+    return c.select(F.substring("file_path", 6, 40).cast("bigint").alias("page_id"), F.col("author").alias("url"), F.col("text").alias("html"))
 
 
 def zip_entries(spark, sf_dir):
@@ -120,21 +128,21 @@ def zip_entries(spark, sf_dir):
 
 
 def zip_prefix_scan(spark, sf_dir):
-    e = ops.zip_entries(archives.parse(corpus.conversations(spark, sf_dir, False), ()))
-    return e.where(F.startswith("name", F.lit("word/"))).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_parts"))
+    files = archives.parse(corpus.conversations(spark, sf_dir, False), ())
+    return files.select("file_path", F.size(F.filter("entries", lambda e: e["name"].startswith("word/"))).cast("bigint").alias("n_parts"))
 
 
 def batch_errors(spark, sf_dir):
-    return ops.errors(archives.parse(corpus.damaged(spark, sf_dir), NO_BODY))
+    return ops.errors(archives.parse(corpus.damaged(spark, sf_dir), NO_BODY, ops.STATS_FIELDS))
 
 
 def batch_results(spark, sf_dir):
-    parts = stage(archives.parse(corpus.damaged(spark, sf_dir), NO_BODY))
-    return ops.document_stats(parts).select("file_path", "total_comments", "total_replies", "total_resolved")
+    files = archives.parse(corpus.damaged(spark, sf_dir), NO_BODY, ops.STATS_FIELDS)
+    return ops.document_stats(files).select("file_path", "total_comments", "total_replies", "total_resolved")
 
 
 def comments_json(spark, sf_dir):
-    j = ops.as_json(ops.comments(_parts(spark, sf_dir)))
+    j = ops.as_json(_files(spark, sf_dir, *archives.ALL_FIELDS))
     fields = ("id", "author", "date", "text", "is_reply", "parent_id", "done")
     return j.select("file_path", *[F.get_json_object("json", f"$.{k}").alias(k) for k in fields])
 
@@ -170,7 +178,8 @@ SQL = {
     "document_stats": f"SELECT file_path, {_STATS} FROM {_T} GROUP BY file_path",
     "author_stats": f"SELECT file_path, author, count(*) AS n_comments, count(*) FILTER (WHERE turn % 3 = 2) AS n_resolved FROM {_T} GROUP BY file_path, author",
     "corpus_stats": f"SELECT {_STATS} FROM {_T}",
-    "anchor_text": _ANCHOR,
+    "anchor_text": f"SELECT * FROM ({_ANCHOR}) WHERE referenced_text <> ''",
+    "anchor_text_relational": _ANCHOR,
     "ids_fallback": f"SELECT file_path, id, para AS para_id, turn > 0 AND turn % 2 = 0 AS is_reply, CASE WHEN turn > 0 AND turn % 2 = 0 THEN {_PARENT} ELSE -1 END AS parent_id, turn % 2 = 0 AND turn % 3 = 2 AS done FROM {_T}",
     "duplicate_ids_last_wins": f"SELECT file_path, CAST(turn // 2 AS INTEGER) AS id, author, body AS text FROM {_T} QUALIFY row_number() OVER (PARTITION BY file_path, turn // 2 ORDER BY turn DESC) = 1",
     "overlapping_ranges": f"SELECT file_path, id, body || coalesce(lead(body) OVER (PARTITION BY file_path ORDER BY turn), '') AS anchor_text FROM {_T}",
@@ -184,4 +193,6 @@ SQL = {
     "comments_json": f"SELECT file_path, CAST(id AS VARCHAR) AS id, author, date, body AS text, CAST(turn > 0 AS VARCHAR) AS is_reply, CASE WHEN turn > 0 THEN CAST((turn - 1) // 2 AS VARCHAR) ELSE '-1' END AS parent_id, CAST(turn % 3 = 2 AS VARCHAR) AS done FROM {_T}",
 }
 
+SQL["comments_relational"] = SQL["comments_full"]
+
 QUERIES = {name: globals()[name] for name in SQL}

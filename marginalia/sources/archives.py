@@ -35,50 +35,93 @@ SCHEMA = (
     "comments_ex array<struct<ordinal:int,para_id:string,para_id_parent:string,done:boolean>>, comment_ids array<struct<ordinal:int,id:int,para_id:string>>, "
     "anchors array<struct<id:int,anchor_text:string>>, entries array<struct<ordinal:int,name:string,method:int,compressed_size:bigint,size:bigint,crc32:bigint>>"
 )
+_REPLY = pa.struct([("id", pa.int32()), ("author", pa.string()), ("date", pa.string()), ("text_snippet", pa.string())])
+#: Fields of a resolved comment: name, Arrow type and Spark type.
+FIELDS = (
+    *((k, t, "int" if t == pa.int32() else "string") for k, t in _COMMENT),
+    ("referenced_text", pa.string(), "string"),
+    ("is_reply", pa.bool_(), "boolean"),
+    ("parent_id", pa.int32(), "int"),
+    ("replies", pa.list_(_REPLY), "array<struct<id:int,author:string,date:string,text_snippet:string>>"),
+    ("para_id_parent", pa.string(), "string"),
+    ("done", pa.bool_(), "boolean"),
+    ("thread_ids", pa.list_(pa.int32()), "array<int>"),
+    ("thread_ordinals", pa.list_(pa.int32()), "array<int>"),
+)
 #: Rows are handed on after so many bytes of input, so a task holds little at once.
 FLUSH_BYTES = 16 << 20
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=ARROW)
-
+class _Decoder:
+    """Turns (path, bytes) into batches: the parts as they are, or, given the names
+    of fields, comments with those fields."""
 
-def parse(files: DataFrame, parts: tuple[str, ...] = document.PARTS) -> DataFrame:
-    """Decodes ``files`` (file_path, content); one row in SCHEMA per row.  Null
-    content stands for a file that can't be opened."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, parts: tuple[str, ...], fields: tuple[str, ...] | None):
+        self.parts, self.fields = parts, fields
+        if fields is None:
+            self.arrow, self.spark = ARROW, SCHEMA
+        else:
+            own = [f for f in FIELDS if f[0] in fields]
+            if len(own) != len(set(fields)):
+                raise ValueError(f"unknown fields: {set(fields) - {f[0] for f in FIELDS}}")
+            self.arrow = pa.schema([*[ARROW.field(k) for k in ("file_path", "error_kind", "message")], ("comments", pa.list_(pa.struct([(n, t) for n, t, _ in own])))])
+            self.spark = "file_path string, error_kind string, message string, comments array<struct<" + ",".join(f"{n}:{t}" for n, _, t in own) + ">>"
+
+    def row(self, path: str, data: bytes | None) -> dict:
+        out = document.rows(path, data, self.parts)
+        if self.fields is not None:
+            out["comments"] = [{k: c[k] for k in self.fields} for c in document.resolve(out)]
+        return out
+
+    def batch(self, rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema=self.arrow)
+
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             for path, content in zip(b.column(0), b.column(1), strict=True):
                 data = content.as_py()
-                held.append(document.rows(path.as_py(), data, parts))
+                held.append(self.row(path.as_py(), data))
                 size += len(data or b"")
                 if size > FLUSH_BYTES or len(held) >= 1000:
-                    yield _batch(held)
+                    yield self.batch(held)
                     held, size = [], 0
         if held:
-            yield _batch(held)
+            yield self.batch(held)
+
+    def paths(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                yield self.batch([self.row(path, _load(path))])
 
-    return files.select("file_path", "content").mapInArrow(run, SCHEMA)
 
+ALL_FIELDS = tuple(f[0] for f in FIELDS)
 
-def read_paths(spark: SparkSession, paths: list[str] | DataFrame, parts: tuple[str, ...] = document.PARTS, partitions: int | None = None) -> DataFrame:
+
+def parse(files: DataFrame, parts: tuple[str, ...] = document.PARTS, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Decodes ``files`` (file_path, content); one row per row.  Null content
+    stands for a file that can't be opened.
+
+    Without ``fields`` the rows hold the parts as they are (SCHEMA).  With names of
+    FIELDS, they hold the comments, put together from all parts, in an array
+    ``comments`` of just those fields: no plan above a Python function can tell it
+    what isn't needed."""
+    d = _Decoder(parts, fields)
+    return files.select("file_path", "content").mapInArrow(d.files, d.spark)
+
+
+def read_paths(spark: SparkSession, paths: list[str] | DataFrame, parts: tuple[str, ...] = document.PARTS, partitions: int | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Decodes the files of a list, or of a DataFrame with a column file_path;
     equal paths are read once.  Paths are kept as given and may be missing."""
     if not isinstance(paths, DataFrame):
         paths = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "file_path string")
-        partitions = partitions or max(1, min(len(set(paths.columns)) and spark.sparkContext.defaultParallelism, 10_000))
+        partitions = partitions or spark.sparkContext.defaultParallelism
     todo = paths.select("file_path").dropDuplicates()
     if partitions:
         todo = todo.repartition(partitions)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                yield _batch([document.rows(path, _load(path), parts)])
-
-    return todo.mapInArrow(run, SCHEMA)
+    d = _Decoder(parts, fields)
+    return todo.mapInArrow(d.paths, d.spark)
 
 
 def _load(path: str | None) -> bytes | None:
@@ -98,10 +141,10 @@ def _load(path: str | None) -> bytes | None:
         return None
 
 
-def read_glob(spark: SparkSession, path: str, parts: tuple[str, ...] = document.PARTS, pattern: str = "*.docx") -> DataFrame:
+def read_glob(spark: SparkSession, path: str, parts: tuple[str, ...] = document.PARTS, pattern: str = "*.docx", fields: tuple[str, ...] | None = None) -> DataFrame:
     """Decodes all files below ``path`` that match; Spark lists and splits them by size."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return parse(found.select(F.col("path").alias("file_path"), "content"), parts)
+    return parse(found.select(F.col("path").alias("file_path"), "content"), parts, fields)
 
 
 def _comments_part(turns: list[dict]) -> bytes:

@@ -11,6 +11,7 @@ from . import container, markup
 
 COMMENTS, EXTENDED, IDS, BODY = "word/comments.xml", "word/commentsExtended.xml", "word/commentsIds.xml", "word/document.xml"
 PARTS = (COMMENTS, EXTENDED, IDS, BODY)
+ANCHOR_BYTES, SNIPPET_BYTES = 240, 120
 _INT = re.compile(rb"[ \t\n\v\f\r]*([+-]?[0-9]+)")
 
 
@@ -143,6 +144,64 @@ def anchors(data: bytes) -> list[dict]:
     return [{"id": k, "anchor_text": _str(v)} for k, v in done.items()]
 
 
+def truncate(text: str, most: int) -> str:
+    """As many whole characters as ``most`` bytes of UTF-8 hold, and an ellipsis if any are left."""
+    if len(text) * 4 <= most or len(raw := text.encode("utf-8", "surrogatepass")) <= most:
+        return text
+    return raw[:most].decode("utf-8", "ignore") + "…"
+
+
+def closure(root: int, below: dict[int, list[int]], unique: bool) -> list[int]:
+    """Ids below ``root``, level by level.  Where ids aren't ``unique`` in the file,
+    none is entered again below itself, so that none makes it endless."""
+    chain, above = [root], [-1]
+    for head, ident in enumerate(chain):  # the chain grows while it is walked
+        for child in below.get(ident, ()):
+            at = -1 if unique else head
+            while at >= 0 and chain[at] != child:
+                at = above[at]
+            if at < 0:
+                chain.append(child)
+                above.append(head)
+    return chain
+
+
+def resolve(file: dict) -> list[dict]:
+    """The comments of a decoded file with all their fields: what the other parts
+    say of them, parents, direct replies, and for roots the whole thread.  Every
+    lookup by an id or a paragraph id finds the last comment that has it."""
+    out = [{**r, "referenced_text": "", "is_reply": False, "parent_id": -1, "replies": [], "para_id_parent": "", "done": False, "thread_ids": [], "thread_ordinals": []} for r in file["comments"]]
+    by_para = {r["para_id"]: r for r in out if r["para_id"]}
+    for e in file["comments_ex"]:
+        if r := by_para.get(e["para_id"]):
+            r["para_id_parent"], r["done"] = e["para_id_parent"], e["done"]
+    # ids that a later part supplies come too late for the entries above, but make parents
+    waiting: dict[int, list[dict]] = {}
+    for r in reversed(out):
+        if not r["para_id"]:
+            waiting.setdefault(r["id"], []).append(r)
+    for i in file["comment_ids"]:
+        if free := waiting.get(i["id"]):
+            free.pop()["para_id"] = i["para_id"]
+    by_para, by_id = {r["para_id"]: r for r in out if r["para_id"]}, {r["id"]: r for r in out}
+    for r in out:
+        if parent := by_para.get(r["para_id_parent"]):
+            r["is_reply"], r["parent_id"] = True, parent["id"]
+    below: dict[int, list[int]] = {}
+    for r in out:
+        if r["is_reply"] and r["parent_id"] >= 0:
+            below.setdefault(r["parent_id"], []).append(r["id"])
+            by_id[r["parent_id"]]["replies"].append({"id": r["id"], "author": r["author"], "date": r["date"], "text_snippet": truncate(r["text"], SNIPPET_BYTES)})
+    for r in out:
+        if not r["is_reply"]:
+            r["thread_ids"] = closure(r["id"], below, len(by_id) == len(out))
+            r["thread_ordinals"] = [by_id[i]["ordinal"] for i in r["thread_ids"]]
+    for a in file["anchors"]:
+        if r := by_id.get(a["id"]):
+            r["referenced_text"] = truncate(a["anchor_text"], ANCHOR_BYTES)
+    return out
+
+
 def rows(path: str, data: bytes | None, parts: tuple[str, ...] = PARTS) -> dict:
     """One file's rows, or its error; ``data`` None stands for a file that can't
     be opened."""

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a session without that setting,
-    as in tests, gets a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``, in the application's own folder;
+    a session without that setting, as in tests, gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:

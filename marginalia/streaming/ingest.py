@@ -15,7 +15,7 @@ _BINARY = "path string, modificationTime timestamp, length bigint, content binar
 def stream(spark: SparkSession, path: str, parts: tuple[str, ...] = document.PARTS, pattern: str = "*.docx", files_per_trigger: int = 1000) -> DataFrame:
     """A streaming DataFrame with one decoded row per new file."""
     found = spark.readStream.format("binaryFile").schema(_BINARY).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return archives.parse(found.select(F.col("path").alias("file_path"), "content"), parts)
+    return archives.parse(found.select(F.col("path").alias("file_path"), "content"), parts, archives.ALL_FIELDS)
 
 
 def write_comments(decoded: DataFrame, to: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -25,7 +25,7 @@ def write_comments(decoded: DataFrame, to: str, checkpoint: str, once: bool = Tr
     def put(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            for name, table in (("comments", ops.comments(batch)), ("document_stats", ops.document_stats(batch)), ("errors", ops.errors(batch))):
+            for name, table in (("comments", ops.full(batch)), ("document_stats", ops.document_stats(batch)), ("errors", ops.errors(batch))):
                 table.write.mode("overwrite").parquet(f"{to}/{name}/batch={number}")
         finally:
             batch.unpersist()

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import truncate_utf8
 from marginalia.operators import comments as ops
+from marginalia.operators import relational
 from marginalia.sources import archives, container, document
 from tests.make import archive, f0
 
@@ -28,14 +29,19 @@ FILES = {
 
 
 @pytest.fixture(scope="module")
-def parts(spark):
-    files = spark.createDataFrame([*FILES.items(), ("missing", None)], "file_path string, content binary")
-    return archives.parse(files).persist()
+def binary(spark):
+    return spark.createDataFrame([*FILES.items(), ("missing", None)], "file_path string, content binary").persist()
 
 
 @pytest.fixture(scope="module")
-def table(parts):
-    rows = ops.comments(parts).orderBy("file_path", "ordinal").collect()
+def files(binary):
+    return archives.parse(binary, fields=archives.ALL_FIELDS).persist()
+
+
+@pytest.fixture(scope="module", params=["in rows", "as relations"])
+def table(request, binary, files):
+    both = {"in rows": lambda: ops.full(files), "as relations": lambda: relational.comments(archives.parse(binary).persist())}
+    rows = both[request.param]().orderBy("file_path", "ordinal").collect()
     return {k: [r for r in rows if r["file_path"] == k] for k in FILES}
 
 
@@ -78,35 +84,50 @@ def test_truncated(table):
     assert root["referenced_text"] == "a" * 239 + "…"
 
 
-def test_lookups(parts, table):
-    c = ops.comments(parts)
-    f0 = c.where("file_path = 'f0'")
-    assert [r["text"] for r in ops.find_by_id(c.where("file_path = 'f6'"), 5).collect()] == ["b"] and len(table["f6"]) == 2
+def test_lookups(files):
+    f0 = files.where("file_path = 'f0'")
+    assert [r["text"] for r in ops.find_by_id(files.where("file_path = 'f6'"), 5).collect()] == ["b"]
+    assert ops.find_by_id(f0, 77).count() == 0
     assert [ops.by_author(f0, x).count() for x in ("Alice Tester", "Bob Reviewer", "Nobody")] == [2, 1, 0]
     assert [r["id"] for r in ops.root_comments(f0).collect()] == [0]
-    assert [r["id"] for r in ops.thread(f0, 0).orderBy("position").collect()] == [0, 1, 2]
-    assert ops.thread(f0, 1).count() == 0 and ops.thread(f0, 99).count() == 0
+    assert [(r["position"], r["id"]) for r in ops.thread(f0, 0).orderBy("position").collect()] == [(0, 0), (1, 1), (2, 2)]
+    assert ops.thread(f0, 1).count() == 0 and ops.thread(f0, 99).count() == 0 and ops.thread(f0).count() == 3
+    assert [r["text"] for r in ops.thread(files.where("file_path = 'f7'"), 5).collect()] == []  # the last comment of that id is a reply
+    assert [r["text"] for r in ops.thread(files.where("file_path = 'f7'")).collect()] == ["b"]
     assert '"id":0' in ops.as_json(f0).where("ordinal = 0").first()["json"]
+    assert {r["id"]: len(r["replies"]) for r in ops.replies(f0).collect()} == {0: 2}
 
 
-def test_statistics(parts):
-    s = {r["file_path"]: r for r in ops.document_stats(parts).collect()}
+def test_statistics(files):
+    s = {r["file_path"]: r for r in ops.document_stats(files).collect()}
     f0 = s["f0"]
     assert (f0["total_comments"], f0["total_replies"], f0["total_root_comments"], f0["total_resolved"]) == (3, 2, 1, 1)
     assert (f0["unique_authors"], f0["earliest_date"], f0["latest_date"]) == (["Alice Tester", "Bob Reviewer"], "2024-03-01T10:00:00Z", "2024-03-03T09:00:00Z")
     assert (s["none"]["total_comments"], s["none"]["total_root_comments"], s["none"]["unique_authors"], s["none"]["earliest_date"]) == (0, 0, [], "")
     assert (s["dates"]["earliest_date"], s["dates"]["latest_date"], s["dates"]["unique_authors"]) == ("2024-01", "2024-02", ["", "Ann", "bob"])
     assert s["f4"]["total_replies"] == 2 and "bad" not in s
-    assert {r["file_path"]: r["message"] for r in ops.errors(parts).collect()} == {"bad": "mmap failed: bad", "missing": "Cannot open file: missing"}
-    c = ops.flags(parts)
-    assert ops.corpus_stats(c).first()["total_comments"] == c.count()
-    assert {(r["author"], r["n_comments"]) for r in ops.author_stats(c.where("file_path = 'f0'")).collect()} == {("Alice Tester", 2), ("Bob Reviewer", 1)}
+    assert {r["file_path"]: r["message"] for r in ops.errors(files).collect()} == {"bad": "mmap failed: bad", "missing": "Cannot open file: missing"}
+    assert ops.corpus_stats(files).first()["total_comments"] == ops.comments(files).count()
+    assert {(r["author"], r["n_comments"]) for r in ops.author_stats(files.where("file_path = 'f0'")).collect()} == {("Alice Tester", 2), ("Bob Reviewer", 1)}
+
+
+def test_no_shuffle_within_files(files):
+    for df in (ops.full(files), ops.document_stats(files), ops.thread(files), ops.find_by_id(files, 1)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_the_fields_asked_for(binary):
+    few = archives.parse(binary, fields=("id", "done"))
+    assert ops.comments(few).columns == ["file_path", "id", "done"]
+    with pytest.raises(ValueError):
+        archives.parse(binary, fields=("id", "nothing"))
 
 
 def test_nothing(spark):
-    parts = archives.parse(spark.createDataFrame([], "file_path string, content binary"))
-    assert ops.comments(parts).collect() == [] and ops.document_stats(parts).collect() == [] and ops.errors(parts).collect() == []
-    assert ops.corpus_stats(ops.flags(parts)).first()["total_comments"] == 0
+    none = spark.createDataFrame([], "file_path string, content binary")
+    files, parts = archives.parse(none, fields=archives.ALL_FIELDS), archives.parse(none)
+    assert ops.full(files).collect() == [] and ops.document_stats(files).collect() == [] and ops.errors(files).collect() == [] and relational.comments(parts).collect() == []
+    assert ops.corpus_stats(files).first()["total_comments"] == 0
 
 
 def test_truncation_against_bytes(spark):
