@@ -109,6 +109,11 @@ def ngram_hashes(h: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, n
     return g[inside], doc[:m][inside]
 
 
+#: Text worked on at a time; with the marks between texts below 2**20 letters, so
+#: that the tables of powers stay at that size unless one text is longer.
+SLICE_BYTES = 900_000
+
+
 def slices(batches, most_bytes: int = 8 << 20, column: str = "text"):
     """Record batches cut so that their text column is about ``most_bytes`` long:
     bounds what a task holds at once, whatever the texts' lengths."""
@@ -126,6 +131,19 @@ def slices(batches, most_bytes: int = 8 << 20, column: str = "text"):
             end = max(at + 1, int(np.searchsorted(size, base + most_bytes, "right")))
             yield b.slice(at, end - at)
             at = end
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system: Python workers live on after
+    a task, and what they keep is lost to the next operator's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        pass
 
 
 @lru_cache(1)
@@ -139,16 +157,17 @@ _BASE = 0x9E6C63D0876A9A47
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, n of each at least."""
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max((1 << 20) + 2, n)
         _powers[:] = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             out = np.ones(size, np.uint64)
             done, step = 1, base
-            while done < size:  # out[done:2*done] = out[:done] * base**done
-                out[done : 2 * done] = out[:done] * np.uint64(step)
+            while done < size:  # the next as many are the first, times base**done
+                more = out[done : 2 * done]
+                more[:] = out[: len(more)] * np.uint64(step)
                 done, step = 2 * done, step * step % (1 << 64)
             _powers.append(out)
     return _powers[0], _powers[1]
@@ -164,7 +183,7 @@ def hash_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], value != 0]).view(np.int8)
     edge = np.flatnonzero(inside[1:] != inside[:-1])  # each text ends in a 0, so edges come in pairs
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power_tables(len(flat) + 1)
+    up, down = powers(len(flat) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(flat)])])
     h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return h, np.searchsorted(starts, offs), ends - starts

@@ -39,6 +39,21 @@ def lookup(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+#: Rows of an Arrow batch that holds texts, where the session leaves it at Spark's 10,000.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; its session sends texts to Python in batches of BATCH_ROWS at most.
+    Spark counts a batch in rows, and 10,000 texts of a hundred kilobytes are a
+    gigabyte.  A session that has a value of its own keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "10000") == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores added as no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []
