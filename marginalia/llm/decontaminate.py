@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import hash_words, mix, ngram_hashes, slices
-from .shared import cut, lookup, unused
+from .arrow_text import SLICE_BYTES, hash_words, mix, ngram_hashes, slices
+from .shared import bounded, cut, lookup, unused
 
 SHINGLE = 3
 THRESHOLD = 0.6
@@ -131,7 +131,7 @@ def _search(src: DataFrame, shingles: DataFrame, kind: str) -> DataFrame:
     bloom = Bloom(shingles.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2 << 20, "text"):
+        for b in slices(batches, SLICE_BYTES, "text"):
             h, offs, _ = hash_words(b.column(3))
             level = np.ceil(np.log2(np.maximum(1, np.diff(offs) - SHINGLE + 1))).astype(np.int32)
             for k in ks:
@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     shingles = cut(item_shingles(items, item_id, item_text))
     shares = max(1, -(-shingles.count() // FILTER_KEYS))
     kind = docs.select(F.col(f"`{doc_id}`").alias("x")).schema["x"].dataType.simpleString()
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    src = bounded(docs).select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     out = None
     for share in range(shares):
         mine = shingles if shares == 1 else shingles.where(F.pmod(F.col("item_row"), F.lit(shares)) == share)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .shared import columns, cut
+from .shared import bounded, columns, cut
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "number")
 CUTOFF = 0.5
@@ -213,7 +213,7 @@ def probability(code: np.ndarray, w: np.ndarray) -> np.ndarray:
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, end (in characters, end excluded), kind, span and feature
     code of every candidate."""
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    src = bounded(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
+from .shared import bounded
 
 DEPTH = 3
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{18,}(?:\.[A-Za-z0-9_-]+){0,4}")
@@ -209,7 +210,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     Null and empty texts hold none, repeated rows report theirs again, texts are
     scanned to their end.  A run that decodes to nothing with a known structure
     is not reported.  No shuffle.  Only the two columns are used."""
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    src = bounded(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -27,13 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import mix, slices
+from .arrow_text import SLICE_BYTES, mix, slices, trim
+from .shared import bounded
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 48
 #: Words a worker remembers before it starts afresh; bounds memory only.
-REMEMBER = 400_000
+REMEMBER = 200_000
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 _BITS = 20
 _CACHE_BITS = 21
@@ -261,8 +262,8 @@ class Model:
             else:
                 groups.setdefault(len(w), []).append(w)
         for same in groups.values():
-            for at in range(0, len(same), 50_000):
-                chunk = same[at : at + 50_000]
+            for at in range(0, len(same), 10_000):
+                chunk = same[at : at + 10_000]
                 ids, n = self.viterbi(chunk)
                 for k in np.unique(np.repeat(np.arange(len(n)), n)[ids == self.n])[::-1].tolist():
                     start = int(n[:k].sum())
@@ -363,11 +364,11 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
     an empty one an empty array and ''.  The driver reads the model file and
     ships its bytes (half a megabyte).  No shuffle.  Only the two columns are used."""
     data = _load(path)
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    src = bounded(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(data)
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, SLICE_BYTES):
             texts = b.column(1).to_pylist()
             ids, offs = m.encode(texts)
             none = np.array([t is None for t in texts])
@@ -377,6 +378,8 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
                 back = m.decode(ids, offs)
                 cols.append(pc.if_else(pa.array(none), pa.scalar(None, pa.string()), back))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", *["decoded"] * decoded])
+        m.forget()  # the worker lives on, perhaps for other work
+        trim()
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>" + ", decoded string" * decoded)
