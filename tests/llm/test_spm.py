@@ -3,11 +3,12 @@ import random
 
 import numpy as np
 import pytest
+import sentencepiece
 
 from marginalia.llm import spm
 from tests.llm.odd import ROWS, SCHEMA, frame, words
 
-sentencepiece = pytest.importorskip("sentencepiece")
+
 pytestmark = pytest.mark.skipif(not os.path.exists(spm.MODEL), reason="no vocabulary here")
 
 
