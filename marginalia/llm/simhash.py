@@ -1,15 +1,15 @@
 """Near-duplicates by SimHash, found with Golay-code fuzzy hashing.
 
 A text's fingerprint is 128 SimHash bits of its distinct words and 64 of its
-word trigrams.  Four segments of 23 bits are looked up in the perfect binary
+word trigrams.  Five segments of 23 bits are looked up in the perfect binary
 Golay code (23, 12): a segment yields the indices of all codewords within
 distance 4 (one to six), and any two segments that differ in at most two bits
-have an index in common.  Documents that share an index in two of the four
+have an index in common.  Documents that share an index in two of the five
 segments are candidates; by pigeonhole that finds every pair whose segments
-differ in at most 8 bits together, and most beyond.  Candidates are verified on
+differ in at most 11 bits together, and most beyond.  Candidates are verified on
 the whole fingerprint, and verified pairs joined into groups.
 
-What is shuffled is one row per index of a first segment, some 16 a document;
+What is shuffled is one row per index of a first segment, some 21 a document;
 the second index is worked out where the rows arrive.
 """
 
@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import hash_words, mix, ngram_hashes, slices
-from .shared import columns, cut, lookup, unused
+from .arrow_text import SLICE_BYTES, hash_words, mix, ngram_hashes, slices
+from .shared import bounded, columns, cut, lookup, unused
 
 MAX_WORD_BITS = 24
-MAX_GRAM_BITS = 18
+MAX_GRAM_BITS = 21
 SHORT_WORD = 3
-SEGMENTS = 4
+SEGMENTS = 5
+#: Indices that a segment has on average.
+INDICES = (6 * 1771 + 277) / 2048
 #: Rows that one task compares at a time; how rows are dealt, not what is found.
 ROWS_PER_TASK = 60_000
 _GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -122,6 +124,9 @@ def fingerprints(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment(fp: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 23 bits of the word bits: two from either half, the last from both."""
+    if k == SEGMENTS - 1:
+        return ((fp[:, 0] >> np.uint64(46)) | ((fp[:, 1] >> np.uint64(46)) & np.uint64(31)) << np.uint64(18)).astype(np.uint32)
     return ((fp[:, k // 2] >> np.uint64(23 * (k % 2))) & np.uint64((1 << 23) - 1)).astype(np.uint32)
 
 
@@ -199,10 +204,10 @@ def connect(fp: np.ndarray, key: np.ndarray, first: np.ndarray) -> np.ndarray:
 def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, node (one per distinct fingerprint; null for a text
     without words) and the fingerprint's words f0, f1, f2."""
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    src = bounded(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2 << 20):
+        for b in slices(batches, SLICE_BYTES):
             fp, any_ = fingerprints(b.column(2))
             node = mix(fp[:, 0] ^ mix(fp[:, 1] ^ mix(fp[:, 2]))).view(np.int64)
             words = [pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(3)]
@@ -214,9 +219,9 @@ def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def links(nodes: DataFrame, n: int) -> DataFrame:
     """Edges (a, b) between nodes (node, f0, f1, f2), n of them, whose components
     are the groups of near-duplicates."""
-    tasks = max(1, -(-n * 16 // ROWS_PER_TASK))
+    tasks = max(1, int(np.ceil(n * (SEGMENTS - 1) * INDICES / ROWS_PER_TASK)))
     # where one index of a segment would have more rows than a task's share, rows are dealt by the second index too
-    split = max(0, int(np.ceil(np.log2(max(1, n * 5.3 / 4096 / ROWS_PER_TASK)))))
+    split = max(0, int(np.ceil(np.log2(max(1, n * INDICES / 4096 / ROWS_PER_TASK)))))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
