@@ -31,15 +31,17 @@ CUTOFF = 0.5
 CONTEXT_CHARS = 48
 _NUMBER = len(KINDS) - 1
 
-_EMAIL = re.compile(r"[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)*")
+_EMAIL = re.compile(r"[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)*(?<!-)")
 _DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"[0-9]+")
+#: A telephone number may end a sentence, but not before a decimal part.  Where a
+#: decimal number follows, it is not the last group of ten digits and more.
 _FORM = re.compile(
-    r"(?P<phone>\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,4}(?![.0-9])|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![-.0-9]))"
+    r"(?P<phone>\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?=\+(?:[ -]?[0-9]){10,}[ -][0-9]{2,4}\.[0-9])\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,4}(?=[ -][0-9]{2,4}\.[0-9])|\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,4}(?![0-9]|\.[0-9]|(?:[ -]?[0-9]{2,4}){1,2}\.[0-9])|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9]|[.-][0-9]))"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])|[0-9]{13,19}(?![0-9]))"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))"
     r"|(?P<number>[0-9][0-9.,:/-]{3,}[0-9])"
 )
 _STRICT = {

@@ -101,3 +101,19 @@ def test_odd_rows(spark):
     assert all(r[k] == v for r in out.collect() for k, v in EXTRA.items())
     none = spark.createDataFrame([], SCHEMA)
     assert pii.find(none).collect() == [] and pii.redact(none).collect() == []
+
+
+def test_every_kind_before_punctuation():
+    values = [("email", "jo.doe@mail.example.com"), ("phone", "+1 555 123 4567"), ("phone", "+49 30 1234 5678"), ("phone", "555-123-4567"), ("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204"), ("card", "4757 9653 0066 9737"), ("card", "4757965300669737"), ("ssn", "123-45-6789"), ("iban", "DE89370400440532013000")]
+    for kind, value in values:
+        for mark in (".", ",", ";", ":", "!", "?", ")", "]", "'", '"', "/", "-", "…", "...", ".)", ". Then", "- or"):
+            text = f"call {value}{mark}"
+            assert [(text[s:e], pii.KINDS[k]) for s, e, k, _ in pii.spans(text)] == [(value, kind)], text
+
+
+def test_telephone_numbers_are_not_cut_by_what_follows():
+    def phones(text):
+        return [text[s:e] for s, e, k, _ in pii.spans(text) if pii.KINDS[k] == "phone"]
+
+    assert phones("+1 555 123 4567.5") == [] and phones("+49 30 1234 5678.5") == [] and phones("555-123-4567.8") == []
+    assert phones("+1 555 123 4567 12.50 EUR") == ["+1 555 123 4567"] and phones("+49 30 1234 5678 2.5 times") == ["+49 30 1234 5678"]
