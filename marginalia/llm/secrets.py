@@ -27,9 +27,14 @@ from .shared import bounded
 
 DEPTH = 3
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{18,}(?:\.[A-Za-z0-9_-]+){0,4}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----")
+_ESCAPED = re.compile(r"\\+([nrt/])")
 _NAME = re.compile(r"(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)[\"']?\s*(?:=|:|=>)\s*$")
 _NAMED = re.compile(r"(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)=")
+#: A word for secrets anywhere in a name, but not in 'author' or 'tokenizer'.
+_WORD = re.compile(r"(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?(?![a-z]|(?i:or|iz))")
+_LEFT = re.compile(r"[\w.-]*[\"']?$")
+_INNER = re.compile(r"=(?=[^=])")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){8,}")
 _AWS = re.compile(r"(?:AKIA|ASIA)[A-Z2-7]{16}")
 _CHECKED = re.compile(r"(?:ghp|gho|ghu|ghs|ghr)_[0-9A-Za-z]{36}")
@@ -160,7 +165,7 @@ def confirm(text: str, named: bool, depth: int = DEPTH) -> str | None:
         if depth > 1 and all(c < 127 for c in data):
             inner = data.decode("ascii").strip()
             if m := _PEM.search(inner):
-                if kind := confirm(re.sub(r"\s", "", m.group(2)), False, depth - 1):
+                if kind := confirm(re.sub(r"\s", "", _unescape(m.group(2))), False, depth - 1):
                     return kind
             elif re.fullmatch(r"[A-Za-z0-9+/_=.-]{18,}", inner) and (kind := confirm(inner, named, depth - 1)):
                 return kind
@@ -169,12 +174,17 @@ def confirm(text: str, named: bool, depth: int = DEPTH) -> str | None:
     return None
 
 
+def _unescape(body: str) -> str:
+    """A key block's body with line ends that a string literal has escaped."""
+    return _ESCAPED.sub(lambda m: {"n": "\n", "r": "\r", "t": "\t", "/": "/"}[m.group(1)], body).replace("\r\n", "\n")
+
+
 def secrets(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of every confirmed secret of a text, in order."""
     out, blocks = [], []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            body = m.group(2)
+            body = _unescape(m.group(2))
             encrypted = "Proc-Type:" in body
             body = re.sub(r"\s", "", body.rpartition("\n\n")[2] if encrypted else body)
             data = _b64(body)
@@ -191,18 +201,32 @@ def secrets(text: str) -> list[tuple[int, int, str]]:
             start, run, named = start + n.end(), run[n.end() :], True
         else:
             named = bool(_NAME.search(text[max(0, start - 40) : start].rstrip("\"'")))
-        if len(run) < 16:
-            continue
-        tail = run
-        kind = confirm(tail, named)
-        if not kind and "." in run:  # the dot may belong to the sentence
-            tail = run.split(".")[0]
-            kind = confirm(tail, named)
-        if kind:
+        found = _confirmed(run, named)
+        if not found:  # NAME=value without blanks is one run too: what follows each inner sign
+            for sign in _INNER.finditer(run):
+                name = _LEFT.search(text[max(0, start + sign.start() - 64) : start + sign.start()]).group()
+                if found := _confirmed(run[sign.end() :], bool(_WORD.search(name))):
+                    start += sign.end()
+                    break
+        if found:
+            tail, kind = found
             out.append((start, start + len(tail), kind))
     return sorted(out)
 
 
+def _confirmed(run: str, named: bool) -> tuple[str, str] | None:
+    """The secret that a run begins with, up to its end or a dot, and its kind."""
+    if len(run) < 16:
+        return None
+    if kind := confirm(run, named):
+        return run, kind
+    if "." in run:  # the dot may belong to the sentence
+        tail = run.split(".")[0]
+        if kind := confirm(tail, named):
+            return tail, kind
+    return None
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, end (in characters, end excluded), kind, secret: one row for
     every confirmed secret of every row.
