@@ -3,7 +3,9 @@
 The reader cuts every file into byte ranges, one task's work each.  A task looks
 for the gzip magic in its range, validates a candidate by decoding the member's
 WARC header, and owns the records whose member starts inside the range; the last
-one is read past the range's end.  No index and no pass over the whole file.
+one is read past the range's end.  No index.  Members may be nested in a stored
+payload, so the ranges of a file that has several are walked before, in parallel,
+to learn which member reaches into the next; the records are those of one range.
 """
 
 from __future__ import annotations
@@ -23,9 +25,6 @@ from .shared import shared_dir
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 32 << 20
 _CHUNK = 1 << 16
-#: A range that starts inside a file may open on members nested in a stored
-#: payload; those end at other bytes than a next member's after a few.
-CONFIRM = 4
 SCHEMA = "path string, offset long, record_type string, record_id string, target_uri string, content_type string, content_length long, null_fields string, payload binary"
 
 
@@ -140,59 +139,91 @@ def records(content: bytes) -> list[tuple[dict[str, str], bytes]] | None:
     return found or None
 
 
-def scan(f, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Records whose members start in [start, end) of a file.  Bytes that belong
-    to no member (damage) are passed over."""
-    w = _Window(f, start, size)
-    at, pending, first = 0, [], None
-    trusted = start == 0
-    while True:
-        w.upto(end - start if at < end - start else 0)
+def _chain(f, size: int, at: int, end: int) -> Iterator[tuple[int, int, list[tuple[dict[str, str], bytes]]]]:
+    """Start, end and records of the members that start in [at, end), each the
+    first that decodes behind the one before."""
+    w, base = _Window(f, at, size), at
+    at, end = 0, end - base
+    w.upto(end)
+    while at < end:
         hit = w.buf.find(MAGIC, at)
-        while hit < 0 and len(w.buf) < min(end - start + 2, size - start) and w.upto(len(w.buf) + 1):
+        while hit < 0 and len(w.buf) < min(end + 2, size - base) and w.upto(len(w.buf) + 1):
             hit = w.buf.find(MAGIC, max(at, len(w.buf) - (1 << 20) - 4))
-        if hit < 0 or hit >= end - start:
+        if hit < 0 or hit >= end:
             break
-        if pending and not trusted and hit != at:  # the chain broke: its members were nested in another
-            at, pending = first + 1, []
-            continue
         got = _decode(w, hit)
         parsed = records(got[0]) if got else None
         if parsed is None:
-            if pending and not trusted:
-                at, pending = first + 1, []
-            else:
-                at = hit + 1
+            at = hit + 1
             continue
-        if not pending:
-            first = hit
-        pending += [(start + hit, head, body) for head, body in parsed]
         at = got[1]
-        trusted = trusted or len(pending) >= CONFIRM
-        if trusted:
-            yield from pending
-            pending = []
-    if pending:  # fewer members than CONFIRM start in the range: what follows must be a member or the end
-        w.upto(at + 3)
-        if start + at >= size or bytes(w.buf[at : at + 3]) == MAGIC:
-            yield from pending
-        else:
-            yield from (x for x in _rest(w, start, first + 1, end))
-
-
-def _rest(w: _Window, start: int, at: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """After a chain at the range's end proved nested: the first member behind it
-    that is followed by another or by the end."""
-    while 0 <= (hit := w.buf.find(MAGIC, at)) < end - start:
-        got = _decode(w, hit)
-        parsed = records(got[0]) if got else None
-        if parsed:
-            w.upto(got[1] + 3)
-            if w.start + got[1] >= w.size or bytes(w.buf[got[1] : got[1] + 3]) == MAGIC:
-                yield from ((start + hit, head, body) for head, body in parsed)
-                at = got[1]
+        yield base + hit, base + at, parsed
+
+
+def _walk(f, size: int, at: int, end: int) -> tuple[int, int]:
+    """Where the first member that starts in [at, end) starts, or -1, and where
+    the search for the next one from ``end`` on has to begin."""
+    first, stop = -1, end
+    for hit, stop_, _ in _chain(f, size, at, end):
+        first, stop = hit if first < 0 else first, max(end, stop_)
+    return first, stop
+
+
+def entry(f, size: int, start: int) -> int:
+    """Where the search from ``start`` on has to begin: there, or at the end of
+    the member that covers it.  Only the file from its start on can tell, as
+    members may be nested in stored payloads to any depth and length."""
+    at = 0
+    while at < start:
+        at = _walk(f, size, at, min(at + SPLIT_BYTES, start))[1]
+    return at
+
+
+def scan(f, size: int, start: int, end: int, at: int | None = None) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Records whose members start in [start, end) of a file.  Bytes that belong
+    to no member (damage) are passed over.  ``at`` is the range's entry, found
+    from the file's start if not given."""
+    for hit, _, parsed in _chain(f, size, entry(f, size, start) if at is None else at, end):
+        for head, body in parsed:
+            yield hit, head, body
+
+
+def _entries(ranges: DataFrame, split_bytes: int, parts: int) -> DataFrame:
+    """``ranges`` (path, length, start) with their entries.  Every range is walked
+    as if no member covered its start; a file's ranges are then put in a row, and
+    only one that a member covers in part, with members nested in that part, is
+    walked again."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path, length, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if start + split_bytes >= length:  # nothing depends on a file's last range
+                    found.append((-1, length))
+                    continue
+                filesystem, name = _filesystem(path)
+                with filesystem.open_input_file(name) as f:
+                    found.append(_walk(f, length, start, start + split_bytes))
+            first, stop = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.int64()), pa.array(stop, pa.int64())], ["path", "length", "start", "first", "stop"])
+
+    def enter(table: pa.Table) -> pa.Table:
+        path, length = table.column("path")[0].as_py(), table.column("length")[0].as_py()
+        at, entries = 0, {}
+        for start, first, stop in sorted(set(zip(*(table.column(c).to_pylist() for c in ("start", "first", "stop"))))):
+            entries[start] = at = max(at, start)
+            if at >= stop:
                 continue
-        at = hit + 1
+            if first < 0 or at <= first:
+                at = stop
+            elif at < start + split_bytes:
+                filesystem, name = _filesystem(path)
+                with filesystem.open_input_file(name) as f:
+                    at = _walk(f, length, at, start + split_bytes)[1]
+        return table.select(["path", "length", "start"]).append_column("entry", pa.array([entries[x] for x in table.column("start").to_pylist()], pa.int64()))
+
+    walked = ranges.repartition(parts, "path", "start").mapInArrow(walk, "path string, length long, start long, first long, stop long")
+    return walked.groupBy("path", "length").applyInArrow(enter, "path string, length long, start long, entry long")
 
 
 def read(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -200,18 +231,21 @@ def read(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES)
     the columns of SCHEMA; missing headers are null.  Files without members, and
     empty ones, give no rows."""
     ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    n = ranges.count()
+    n, longest = ranges.agg(F.count(F.lit(1)), F.max("length")).first()
     per = spark.sparkContext.defaultParallelism
-    ranges = ranges.repartition(max(1, n if n < 4 * per else min(n, 200_000)), "path", "start")
+    parts = max(1, n if n < 4 * per else min(n, 200_000))
+    several = F.col("length") > split_bytes
+    entered = ranges.withColumn("entry", F.lit(0).cast("long")) if (longest or 0) <= split_bytes else _entries(ranges.where(several), split_bytes, parts).unionByName(ranges.where(~several).withColumn("entry", F.lit(0).cast("long")))
+    ranges = entered.repartition(parts, "path", "start")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("null_fields", pa.string()), ("payload", pa.binary())])
         rows, held = [], 0
         for b in batches:
-            for path, length, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, length, start, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 filesystem, name = _filesystem(path)
                 with filesystem.open_input_file(name) as f:
-                    for offset, head, body in scan(f, length, start, min(start + split_bytes, length)):
+                    for offset, head, body in scan(f, length, start, min(start + split_bytes, length), at):
                         uri, nulls = head.get("warc-target-uri"), head.get("x-null-fields", "")
                         if uri is not None and "quoted_uri" in nulls.split():
                             uri = urllib.parse.unquote(uri)

@@ -70,3 +70,37 @@ def test_round_trip(spark):
     got = W.roundtrip(df, split_bytes=700).collect()
     assert sorted((str(r["page_id"]), str(r["url"]), str(r["html"]), r["content_length"]) for r in got) == sorted((str(a), str(b), str(c), len((c or "").encode())) for a, b, c in rows)
     assert W.roundtrip(df.limit(0)).collect() == []
+
+
+def damaged_and_nested():
+    """Archives with a broken member or padding every few records, and with
+    archives of many members stored in a payload, nested twice."""
+    rng = random.Random(2)
+    data, starts = file_of([rng.randbytes(rng.choice([40, 400, 900])) for _ in range(40)])
+    broken = bytearray(data)
+    for k in range(1, 40, 3):
+        broken[starts[k] + 20 : starts[k] + 40] = bytes(20)
+    padded = b"".join(data[a:b] + (b"\0" * 7 if k % 3 == 0 else b"") for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(data)])))
+    inner, _ = file_of([rng.randbytes(300) for _ in range(12)])
+    middle, _ = file_of([rng.randbytes(200), inner, *(rng.randbytes(100) for _ in range(6))])
+    nested, _ = file_of([rng.randbytes(500), middle, inner, b"x", middle, *(rng.randbytes(300) for _ in range(8))])
+    return [bytes(broken), padded, nested, nested + bytes(broken) + nested[: len(nested) // 2]]
+
+
+@pytest.mark.parametrize("split", [97, 500, 1000, 1531, 2500, 4096, 9000])
+def test_damage_and_nesting_do_not_depend_on_the_split(split):
+    for data in damaged_and_nested():
+        assert owned(data, split) == owned(data, len(data))
+
+
+def test_read_damage_and_nesting_at_any_split(spark, tmp_path):
+    sizes, want = [], []
+    for k, data in enumerate(damaged_and_nested()):
+        path = tmp_path / f"{k}.warc.gz"
+        path.write_bytes(data)
+        sizes.append((str(path), len(data)))
+        want += [(str(path), at, body) for at, body in owned(data, len(data))]
+    files = spark.createDataFrame(sizes, "path string, length long")
+    for split in (700, 3000, 9000, 10**6):
+        got = sorted((r["path"], r["offset"], bytes(r["payload"])) for r in W.read(spark, files, split).collect())
+        assert got == sorted(want)
