@@ -147,3 +147,28 @@ SQL = f"""WITH docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(st
     FROM pairs JOIN uni USING (w) LEFT JOIN bi ON bi.p = pairs.p AND bi.w = pairs.w LEFT JOIN uni cu ON cu.w = pairs.p CROSS JOIN total GROUP BY r)
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(s, 0), 4) AS log_score, round(s / nullif(len(w), 0), 6) AS mean_log_score
   FROM docs LEFT JOIN scored USING (r)"""
+
+
+TRIGRAM_QUERY = "op4_stupid_backoff_trigram_scores"
+
+
+def trigram_query(spark, sf_dir: str) -> DataFrame:
+    """The scores with one order more than in ``query``, whose SQL ends at pairs."""
+    out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3)
+    return out.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+TRIGRAM_SQL = f"""WITH docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+  tok AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM docs),
+  grams AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS p, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS q FROM tok),
+  uni AS (SELECT w, count(*) AS c FROM tok GROUP BY w),
+  bi AS (SELECT p, w, count(*) AS c FROM grams WHERE p IS NOT NULL GROUP BY p, w HAVING count(*) >= {MIN_COUNT}),
+  tri AS (SELECT q, p, w, count(*) AS c FROM grams WHERE q IS NOT NULL GROUP BY q, p, w HAVING count(*) >= {MIN_COUNT}),
+  total AS (SELECT count(*)::DOUBLE AS n FROM tok),
+  scored AS (SELECT r, sum(CASE WHEN tri.c IS NOT NULL THEN ln(tri.c / cb.c::DOUBLE)
+      ELSE CASE WHEN g.q IS NULL THEN 0 ELSE ln({ALPHA}) END + CASE WHEN bi.c IS NOT NULL THEN ln(bi.c / cu.c::DOUBLE)
+      ELSE CASE WHEN g.p IS NULL THEN 0 ELSE ln({ALPHA}) END + ln(uni.c::DOUBLE) - ln(n) END END) AS s
+    FROM grams g JOIN uni USING (w) LEFT JOIN tri ON tri.q = g.q AND tri.p = g.p AND tri.w = g.w LEFT JOIN bi cb ON cb.p = g.q AND cb.w = g.p
+      LEFT JOIN bi ON bi.p = g.p AND bi.w = g.w LEFT JOIN uni cu ON cu.w = g.p CROSS JOIN total GROUP BY r)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(s, 0), 4) AS log_score, round(s / nullif(len(w), 0), 6) AS mean_log_score
+  FROM docs LEFT JOIN scored USING (r)"""

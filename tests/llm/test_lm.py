@@ -48,3 +48,21 @@ def test_odd_rows(spark):
 def test_no_words_at_all(spark):
     got = lm.score(spark.createDataFrame([(1, ""), (2, None), (3, "!?")], "doc_id long, text string")).collect()
     assert {(r["n_tokens"], r["log_score"], r["mean_log_score"]) for r in got} == {(0, 0.0, None)}
+
+
+def test_trigram_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from marginalia.llm import queries
+
+    rows = [(i, words(i % 90, 30 + i % 50, 120) if i else None) for i in range(200)] + [(7, ""), (8, "one"), (8, "one two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    name = "op4_stupid_backoff_trigram_scores"
+    got = [(r["doc_id"], r["n_tokens"], r["log_score"]) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+    want = [r[:3] for r in con.sql(queries.oracle_sql()[name]).fetchall()]
+    assert len(got) == len(want) == 203
+    for a, b in zip(sorted(got), sorted(want)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-4
+    assert sorted((str(a), b, c) for a, b, c in got) == brute(rows, 3)
