@@ -184,14 +184,22 @@ def reliabilities(kind: np.ndarray, v: np.ndarray, n: np.ndarray, rounds: int =
 
 
 def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (bias last) of a ridge logistic regression on weighted soft labels."""
+    """Weights (bias last) of a ridge logistic regression on weighted soft labels.
+    ``n`` counts in full, so that what a rare kind's spans say stays as it is
+    when the others multiply."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
-    n = n / max(1.0, n.sum()) * min(n.sum(), 1e5)
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return (n * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * w @ w
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, x.T @ (n * (y - p)) - ridge * w)
+        while np.abs(step).max() >= 1e-8 and loss(w + step) > loss(w):
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-8:
             break

@@ -117,3 +117,16 @@ def test_telephone_numbers_are_not_cut_by_what_follows():
 
     assert phones("+1 555 123 4567.5") == [] and phones("+49 30 1234 5678.5") == [] and phones("555-123-4567.8") == []
     assert phones("+1 555 123 4567 12.50 EUR") == ["+1 555 123 4567"] and phones("+49 30 1234 5678 2.5 times") == ["+49 30 1234 5678"]
+
+
+def test_a_rare_kind_keeps_its_verdict_when_others_multiply():
+    texts = ["call jo@x.com now", "ip 190.137.223.204 is", "see 12345.67 there", "see 1.2.3.4.5.6 there", "iban DE89370400440532013000, ok"]
+    codes = np.array([pii.spans(t)[0][3] for t in texts])
+    x = pii._decode(codes)[2]
+    for label in (0.4, 0.6):
+        for k in (20, 200):
+            got = []
+            for m in (1e3, 1e5, 1e6, 1e8, 1e10):
+                w = pii.fit(x, np.array([0.97, 0.95, 0.02, 0.02, label]), np.array([m, m, 5 * m, 5 * m, k]))
+                got.append(pii.probability(codes[-1:], w)[0])
+            assert max(got) - min(got) < 0.03 and all((p >= pii.CUTOFF) == (label >= pii.CUTOFF) for p in got), (label, k, got)
