@@ -1,6 +1,6 @@
 """Personal data by weak supervision.
 
-Candidate spans come from loose patterns.  Labelers of three sorts vote on each
+Candidate spans come from loose patterns; of IP addresses only IPv4 has one.  Labelers of three sorts vote on each
 (1 personal, 0 not, or abstain): regular expressions (strict form, boundaries,
 check digits), gazetteers (top-level domains, calling codes, issuer prefixes,
 reserved networks) and context (words around, numbers around).  Expectation-
