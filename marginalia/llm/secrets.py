@@ -6,7 +6,13 @@ nested lengths fill each other exactly and whose fields are those of a private
 key, an OpenSSH key file, the JSON header and payload of a signed token with a
 signature of the algorithm's length, a token whose checksum fits, an access key
 id, or random bytes of full length that are the whole value of an assignment to
-a name for secrets.  Encodings may be nested.
+a name for secrets.  Encodings may be nested to any depth, as each level is
+shorter than the one around it.  A name is looked for in the 40 letters before a
+value, or in the 64 before the sign of an assignment without blanks.
+
+A text is read in time proportional to its length, whatever is in it: the marks
+of key blocks are found once and a block lies between two marks that follow each
+other, so that a mark without a partner costs nothing.
 """
 
 from __future__ import annotations
@@ -25,16 +31,15 @@ from pyspark.sql import functions as F
 from .arrow_text import slices
 from .shared import bounded
 
-DEPTH = 3
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{18,}(?:\.[A-Za-z0-9_-]+){0,4}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,64}PRIVATE KEY)-----")
+_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\++[nrt/])*+")
 _ESCAPED = re.compile(r"\\+([nrt/])")
 _NAME = re.compile(r"(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)[\"']?\s*(?:=|:|=>)\s*$")
 _NAMED = re.compile(r"(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)=")
 #: A word for secrets anywhere in a name, but not in 'author' or 'tokenizer'.
 _WORD = re.compile(r"(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?(?![a-z]|(?i:or|iz))")
 _LEFT = re.compile(r"[\w.-]*[\"']?$")
-_INNER = re.compile(r"=(?=[^=])")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){8,}")
 _AWS = re.compile(r"(?:AKIA|ASIA)[A-Z2-7]{16}")
 _CHECKED = re.compile(r"(?:ghp|gho|ghu|ghs|ghr)_[0-9A-Za-z]{36}")
@@ -139,7 +144,16 @@ def _random(data: bytes) -> bool:
     return len(data) >= 8 and len(set(data)) >= min(len(data), 64) * 0.7 and not all(32 <= c < 127 for c in data) and len({(b - a) & 255 for a, b in zip(data, data[1:])}) > 3
 
 
-def confirm(text: str, named: bool, depth: int = DEPTH) -> str | None:
+def _blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, name and body of every key block."""
+    last = None
+    for m in _MARK.finditer(text):
+        if m.group(1) == "END" and last and last.group(1) == "BEGIN" and last.group(2) == m.group(2) and _BODY.fullmatch(text, last.end(), m.start()):
+            yield last.start(), m.end(), m.group(2), text[last.end() : m.start()]
+        last = m
+
+
+def confirm(text: str, named: bool) -> str | None:
     """Kind of the secret that a candidate is, whole; ``named`` if it is the value
     of an assignment to a name for secrets."""
     if _AWS.fullmatch(text):
@@ -162,12 +176,12 @@ def confirm(text: str, named: bool, depth: int = DEPTH) -> str | None:
     for _, data in ways:
         if kind := key_structure(data):
             return kind
-        if depth > 1 and all(c < 127 for c in data):
+        if data.isascii():
             inner = data.decode("ascii").strip()
-            if m := _PEM.search(inner):
-                if kind := confirm(re.sub(r"\s", "", _unescape(m.group(2))), False, depth - 1):
+            if block := next(_blocks(inner), None):
+                if kind := confirm(re.sub(r"\s", "", _unescape(block[3])), False):
                     return kind
-            elif re.fullmatch(r"[A-Za-z0-9+/_=.-]{18,}", inner) and (kind := confirm(inner, named, depth - 1)):
+            elif re.fullmatch(r"[A-Za-z0-9+/_=.-]{18,}", inner) and (kind := confirm(inner, named)):
                 return kind
     if named and ways and _random(ways[0][1]):
         return "assigned_" + ways[0][0]
@@ -181,20 +195,21 @@ def _unescape(body: str) -> str:
 
 def secrets(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of every confirmed secret of a text, in order."""
-    out, blocks = [], []
-    if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            body = _unescape(m.group(2))
-            encrypted = "Proc-Type:" in body
-            body = re.sub(r"\s", "", body.rpartition("\n\n")[2] if encrypted else body)
-            data = _b64(body)
-            kind = data and (key_structure(data) or ("encrypted_private_key" if "ENCRYPTED" in m.group(1) and der(data, 0, len(data)) or encrypted and len(data) % 8 == 0 else None))
-            if kind:
-                out.append((m.start(), m.end(), kind))
-                blocks.append((m.start(), m.end()))
+    out = []
+    for start, end, name, body in _blocks(text) if "-----BEGIN" in text else ():
+        body = _unescape(body)
+        encrypted = "Proc-Type:" in body
+        body = re.sub(r"\s", "", body.rpartition("\n\n")[2] if encrypted else body)
+        data = _b64(body)
+        kind = data and (key_structure(data) or ("encrypted_private_key" if "ENCRYPTED" in name and der(data, 0, len(data)) or encrypted and len(data) % 8 == 0 else None))
+        if kind:
+            out.append((start, end, kind))
+    blocks, at = list(out), 0
     for m in _RUN.finditer(text):
         start, end = m.span()
-        if any(a < end and start < b for a, b in blocks):
+        while at < len(blocks) and blocks[at][1] <= start:
+            at += 1
+        if at < len(blocks) and blocks[at][0] < end:
             continue
         run, named = m.group(), False
         if n := _NAMED.match(run):  # password=... is one run of letters
@@ -202,12 +217,11 @@ def secrets(text: str) -> list[tuple[int, int, str]]:
         else:
             named = bool(_NAME.search(text[max(0, start - 40) : start].rstrip("\"'")))
         found = _confirmed(run, named)
-        if not found:  # NAME=value without blanks is one run too: what follows each inner sign
-            for sign in _INNER.finditer(run):
-                name = _LEFT.search(text[max(0, start + sign.start() - 64) : start + sign.start()]).group()
-                if found := _confirmed(run[sign.end() :], bool(_WORD.search(name))):
-                    start += sign.end()
-                    break
+        if not found and (sign := run.rfind("=", 0, len(run.partition(".")[0].rstrip("="))) + 1):
+            # NAME=value without blanks is one run too; no value has a sign inside, so it follows the last one
+            name = _LEFT.search(text[max(0, start + sign - 65) : start + sign - 1]).group()
+            if found := _confirmed(run[sign:], bool(_WORD.search(name))):
+                start += sign
         if found:
             tail, kind = found
             out.append((start, start + len(tail), kind))

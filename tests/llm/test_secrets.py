@@ -1,6 +1,8 @@
 import base64
 import json
 import random
+import re
+import time
 import zlib
 
 import pytest
@@ -96,19 +98,168 @@ def test_every_cut_of_a_key_fails():
         S.key_structure(noise(R.randrange(60)))
 
 
+def parse(data):
+    """The elements of DER data as nested lists, or None: (tag, content or elements)."""
+    out, at = [], 0
+    while at < len(data):
+        if len(data) < at + 2:
+            return None
+        tag, n, head = data[at], data[at + 1], 2
+        if n > 127:
+            head += n - 128
+            if not 129 <= n <= 132 or len(data) < at + head:
+                return None
+            digits = data[at + 2 : at + head]
+            n = int.from_bytes(digits)
+            if digits[0] == 0 or n < 128:
+                return None
+        if len(data) < at + head + n:
+            return None
+        out.append((tag, data[at + head : at + head + n]))
+        at += head + n
+    return out
+
+
+def key_kind(data):
+    if data[:15] == b"openssh-key-v1\0":
+        rest, sizes = data[15:], []
+        for k in range(5):
+            rest = rest[4:] if k == 3 else rest
+            n = int.from_bytes(rest[:4]) if len(rest) >= 4 else 1 << 40
+            sizes.append(n <= len(rest) - 4)
+            rest = rest[4 + n :]
+        return "openssh_private_key" if all(sizes) and not rest else None
+    top = parse(data)
+    inner = parse(top[0][1]) if top and [t for t, _ in top] == [48] else None
+    if not inner or inner[0][0] != 2 or len(inner[0][1]) != 1:
+        return None
+    version, tags = inner[0][1][0], "".join(f"{t:02x}" for t, _ in inner)
+    if version == 0 and tags in ("02" * 9, "02" * 6):
+        return "rsa_private_key" if len(tags) == 18 else "dsa_private_key"
+    if version < 2 and tags.startswith("023004"):
+        return "pkcs8_private_key" if (parse(inner[1][1]) or [(0, b"")])[0][0] == 6 else None
+    return "ec_private_key" if version == 1 and re.fullmatch("0204(a0|a1)+", tags) else None
+
+
+def decoded(value):
+    if re.fullmatch("([0-9a-fA-F]{2}){8,}", value):
+        return bytes.fromhex(value), "hex"
+    m = re.fullmatch("([A-Za-z0-9+/_-]+)={0,2}", value)
+    if m and len(value) >= 24 and len(m[1]) % 4 != 1:
+        return base64.b64decode(m[1].replace("-", "+").replace("_", "/") + "==="), "base64"
+    return None, None
+
+
+def value_kind(value, named):
+    """What a value is, by plain reading."""
+    if re.fullmatch("(AKIA|ASIA)[A-Z2-7]{16}", value):
+        return "access_key_id" if len(set(value[4:])) > 5 else None
+    if re.fullmatch("gh[pousr]_[0-9A-Za-z]{36}", value):
+        n = 0
+        for c in value[34:]:
+            n = n * 62 + S._BASE62.index(c)
+        return "checksummed_token" if n == zlib.crc32(value[4:34].encode()) else None
+    parts = value.split(".")
+    if len(parts) == 3:
+        raw = [base64.urlsafe_b64decode(p + "===") if len(p) % 4 != 1 else b"" for p in parts]
+        try:
+            head, body = json.loads(raw[0]), json.loads(raw[1])
+            sizes = {"HS256": [32], "HS384": [48], "HS512": [64], "ES256": [64]}.get(head["alg"], range(64, 1025))
+            return "signed_token" if isinstance(body, dict) and len(raw[2]) in sizes else None
+        except (ValueError, TypeError, KeyError):
+            return None
+    if len(parts) > 1:
+        return None
+    data, way = decoded(value)
+    if data is None:
+        return None
+    if kind := key_kind(data):
+        return kind
+    try:
+        text = data.decode("ascii").strip()
+    except UnicodeDecodeError:
+        text = ""
+    if m := re.search("-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \\1-----", text):
+        text = re.sub(r"\s", "", m[2])
+    if len(text) >= 18 and re.fullmatch("[A-Za-z0-9+/_=.-]+", text) and (kind := value_kind(text, named and not m)):
+        return kind
+    steps = {(b - a) % 256 for a, b in zip(data, data[1:])}
+    return f"assigned_{way}" if named and len(data) >= 8 and len(set(data)) >= 0.7 * min(64, len(data)) and not all(31 < c < 127 for c in data) and len(steps) > 3 else None
+
+
+def plainly(text):
+    """Key blocks, then words: what a blank, quote or bracket ends, with the name
+    before its sign."""
+    out = []
+    for m in re.finditer("-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \\1-----", text):
+        data = decoded(re.sub(r"\s", "", m[2]))[0]
+        if kind := data and key_kind(data):
+            out.append((m.start(), m.end(), kind))
+    for m in re.finditer(r"""[^\s"'(){}&?,;!]{18,}""", re.sub(r"-----BEGIN[^-]*-----[^-]*-----END[^-]*-----", lambda m: " " * len(m[0]), text)):
+        word, at = m[0], m.start()
+        body = word.rstrip("=.")
+        name, sign, value = body.rpartition("=") if "=" in body else ("", "", body)
+        value, at = value + word[len(body) :].rstrip("."), at + len(name) + len(sign)
+        named = bool(re.search("(?i)(token|password|secret|api_?key)s?(_[a-z]+)?$", name)) or bool(re.search("(?i)(token|password|secret|api_?key)[\"']?\\s*[=:]\\s*[\"']?$", text[:at]))
+        for tried in dict.fromkeys([value, value.split(".")[0]]):  # the dot may be the sentence's
+            if len(tried) >= 16 and (kind := value_kind(tried, named)):
+                out.append((at, at + len(tried), kind))
+                break
+    return sorted(out)
+
+
 def test_scan_equals_brute_force(spark):
-    rows = []
-    for i in range(60):
+    """Against a plain reading that shares nothing with the scan: secrets, decoys,
+    cut and changed ones, names before them, and several in a text."""
+    rng, rows = random.Random(7), []
+    for i in range(400):
         w = words(i, 40).split()
-        w[i % 30 : i % 30] = [(SECRETS[i % len(SECRETS)][1] if i % 2 else DECOYS[i % len(DECOYS)])]
+        for _ in range(rng.choice([0, 1, 1, 2, 5])):
+            value = rng.choice([x for _, x in SECRETS] + [d for d in DECOYS if not d.startswith(("token", "password", "https", "/usr"))] + [noise(rng.randint(8, 40)).hex(), b64(noise(rng.randint(16, 60)))])
+            if rng.random() < 0.2 and "\n" not in value:
+                at = rng.randrange(len(value))
+                value = value[:at] + rng.choice(["", value[at : at + 1] * 2, "A"]) + value[at + 1 :]
+            before, after = rng.choice([("", ""), ("(", ")"), ("token=", ""), ("DB_PASSWORD=", ""), ("api_key: '", "'"), ('"secret": "', '"'), ("commit=", ""), ("", ".")])
+            w[rng.randrange(len(w) + 1) : 0] = [before + value + after]
         rows.append((i, " ".join(w)))
-    want = []
-    for i, t in rows:  # every word, and every key block, by itself
-        for kind, secret in SECRETS:
-            if secret in t:
-                want.append((i, t.index(secret), kind, secret))
-    got = [(r["doc_id"], r["start"], r["kind"], r["secret"]) for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(got) == sorted(want) and len(got) == 30
+    rows += [(1000 + i, t) for i, t in enumerate(SECRETS[k % len(SECRETS)][1] + " " + SECRETS[(k + 3) % len(SECRETS)][1] for k in range(20))]
+    want = [(i, s, e, k, t[s:e]) for i, t in rows for s, e, k in plainly(t)]
+    got = [(r["doc_id"], r["start"], r["end"], r["kind"], r["secret"]) for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 300 and len({r[3] for r in want}) >= 9
+
+
+def test_time_is_linear():
+    block = pem(PKCS8)
+    rng = random.Random(9)
+    texts = {
+        "unclosed": "-----BEGIN RSA PRIVATE KEY-----\nMIIE\n" * 500_000,
+        "unopened": "-----END RSA PRIVATE KEY-----\nMIIE\n" * 500_000,
+        "closed": (block + "\n") * (20_000_000 // len(block)),
+        "names": "PRIVATE KEY " * 1_600_000,
+        "signs": "a=" * 10_000_000,
+        "named signs": "token=" * 3_300_000,
+        "hexadecimal": rng.randbytes(10_000_000).hex(),
+        "dots": "abcdefghijklmnopqrstu." * 900_000,
+        "slashes": "-----BEGIN PRIVATE KEY-----" + "\\" * 20_000_000 + "-----END PRIVATE KEY-----",
+    }
+    for name, text in texts.items():
+        began = time.process_time()
+        found = S.secrets(text)
+        assert time.process_time() - began < 40, name
+        assert len(found) == (text.count("BEGIN") if name == "closed" else 0), name
+
+
+def test_unclosed_marks_hide_no_key():
+    block = pem(PKCS8)
+    for text in ("-----BEGIN PRIVATE KEY-----\n" + block, block + "-----END PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----" + block, block + block):
+        assert {text[s:e] for s, e, _ in S.secrets(text)} == {block}
+
+
+def test_nested_to_any_depth():
+    value = RSA
+    for _ in range(12):
+        value = b64(value).encode()
+    assert S.secrets(value.decode()) == [(0, len(value), "rsa_private_key")]
 
 
 def test_odd_rows(spark):
