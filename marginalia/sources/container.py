@@ -67,8 +67,19 @@ def directory(data: bytes) -> list[Entry]:
     return entries
 
 
-def content(data: bytes, entry: Entry) -> bytes:
-    """An entry's bytes, as many as the directory declares (zeros if there are fewer)."""
+def opened(path: str, data: bytes | None) -> list[Entry]:
+    """The entries of a file's bytes; None stands for a file that can't be opened."""
+    if data is None:
+        raise ContainerError(f"Cannot open file: {path}")
+    if not data:
+        raise ContainerError(f"mmap failed: {path}")
+    return directory(data)
+
+
+def content(data: bytes, entry: Entry, room: int | None = None) -> bytes:
+    """An entry's bytes, as many as the directory declares (zeros if there are
+    fewer).  With ``room`` as many as there are, up to that number."""
+    most = entry.size if room is None else room
     at, name = entry.offset, entry.name
     if at + 30 > len(data) or data[at : at + 4] != _LOCAL:
         raise ContainerError(f"Local file header signature mismatch for: {name}")
@@ -76,29 +87,36 @@ def content(data: bytes, entry: Entry) -> bytes:
     at += 30 + n_name + n_extra
     raw = data[at : at + entry.compressed_size]
     if entry.method == 0:
-        if entry.compressed_size > entry.size:
+        if entry.compressed_size > most:
             raise ContainerError(f"Buffer too small for stored entry: {name}")
-        return raw.ljust(entry.size, b"\0")
+        return raw if room is not None else raw.ljust(entry.size, b"\0")
     if entry.method != 8:
         raise ContainerError(f"Unsupported compression method {entry.method} in: {name}")
     z = zlib.decompressobj(-15)
     try:
-        out = z.decompress(raw, entry.size + 1)
+        out = z.decompress(raw, most + 1)
     except zlib.error as e:
         code = str(e).partition("Error ")[2].partition(" ")[0] or "-3"
         raise ContainerError(f"inflate failed ({code}) for: {name}") from None
-    if not z.eof or len(out) > entry.size:
+    if not z.eof or len(out) > most:
         raise ContainerError(f"inflate failed (-5) for: {name}")
-    return out.ljust(entry.size, b"\0")
+    return out if room is not None else out.ljust(entry.size, b"\0")
 
 
-def pack(files: list[tuple[str, bytes]], method: int = 0, note: bytes = b"") -> bytes:
-    """A container of (name, bytes); method 0 stores, 8 deflates, others only claim to."""
+def pack(files: list[tuple[str, bytes]], method: int = 0, note: bytes = b"", wide: bool = False) -> bytes:
+    """A container of (name, bytes); method 0 stores, 8 deflates, others only claim
+    to.  ``wide`` writes sizes, offsets and the directory's place as ZIP64 does."""
     out, central = bytearray(), bytearray()
     for name, body in files:
         raw, crc, where = name.encode(), zlib.crc32(body), len(out)
         z = zlib.compressobj(6, zlib.DEFLATED, -15)
         packed = z.compress(body) + z.flush() if method == 8 else body
         out += _LOCAL + struct.pack("<HHHHHIIIHH", 20, 0, method, 0, 33, crc, len(packed), len(body), len(raw), 0) + raw + packed
-        central += _ENTRY + struct.pack("<HHHHHHIIIHHHHHII", 20, 20, 0, method, 0, 33, crc, len(packed), len(body), len(raw), 0, 0, 0, 0, 0, where) + raw
+        extra = struct.pack("<HHQQQ", 1, 24, len(body), len(packed), where) if wide else b""
+        sizes = (_FULL, _FULL) if wide else (len(packed), len(body))
+        central += _ENTRY + struct.pack("<HHHHHHIIIHHHHHII", 20, 20, 0, method, 0, 33, crc, *sizes, len(raw), len(extra), 0, 0, 0, 0, _FULL if wide else where) + raw + extra
+    if wide:
+        end = len(out) + len(central)
+        far = _END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, len(files), len(files), len(central), len(out))
+        return bytes(out + central + far + _LOCATOR + struct.pack("<IQI", 0, end, 1) + _END + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, _FULL, _FULL, len(note)) + note)
     return bytes(out + central + _END + struct.pack("<HHHHIIH", 0, 0, len(files), len(files), len(central), len(out), len(note)) + note)

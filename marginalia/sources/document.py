@@ -207,11 +207,7 @@ def rows(path: str, data: bytes | None, parts: tuple[str, ...] = PARTS) -> dict:
     be opened."""
     out = {"file_path": path, "error_kind": None, "message": None, "comments": [], "comments_ex": [], "comment_ids": [], "anchors": [], "entries": []}
     try:
-        if data is None:
-            raise container.ContainerError(f"Cannot open file: {path}")
-        if not data:
-            raise container.ContainerError(f"mmap failed: {path}")
-        entries = container.directory(data)
+        entries = container.opened(path, data)
         out["entries"] = [{"ordinal": i, "name": e.name, "method": e.method, "compressed_size": e.compressed_size, "size": e.size, "crc32": e.crc32} for i, e in enumerate(entries)]
         by_name = {e.name: e for e in entries}
     except container.ContainerError as e:
