@@ -50,6 +50,8 @@ FIELDS = (
 )
 #: Rows are handed on after so many bytes of input, so a task holds little at once.
 FLUSH_BYTES = 16 << 20
+#: Files of a list that one task opens.
+PATHS_PER_TASK = 500
 
 
 class _Decoder:
@@ -112,10 +114,15 @@ def parse(files: DataFrame, parts: tuple[str, ...] = document.PARTS, fields: tup
 
 def read_paths(spark: SparkSession, paths: list[str] | DataFrame, parts: tuple[str, ...] = document.PARTS, partitions: int | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Decodes the files of a list, or of a DataFrame with a column file_path;
-    equal paths are read once.  Paths are kept as given and may be missing."""
+    equal paths are read once.  Paths are kept as given and may be missing.
+
+    A list is dealt to ``partitions``, or to as many as give each task up to
+    PATHS_PER_TASK files.  Sizes aren't asked for beforehand: that would open every
+    file once more, on the driver; for folders, ``read_glob`` lists them with sizes."""
     if not isinstance(paths, DataFrame):
-        paths = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "file_path string")
-        partitions = partitions or spark.sparkContext.defaultParallelism
+        distinct = list(dict.fromkeys(paths))
+        paths = spark.createDataFrame([(p,) for p in distinct], "file_path string")
+        partitions = partitions or max(spark.sparkContext.defaultParallelism, -(-len(distinct) // PATHS_PER_TASK))
     todo = paths.select("file_path").dropDuplicates()
     if partitions:
         todo = todo.repartition(partitions)
@@ -124,13 +131,19 @@ def read_paths(spark: SparkSession, paths: list[str] | DataFrame, parts: tuple[s
     return todo.mapInArrow(d.paths, d.spark)
 
 
-def _load(path: str | None) -> bytes | None:
-    """A file's bytes by path or URI; None if it can't be opened."""
+def filesystem(path: str) -> tuple:
+    """The filesystem of a path or URI, and the path in it."""
     from pyarrow import fs
 
+    path = re.sub(r"^file:/+", "file:///", path)
+    return fs.FileSystem.from_uri(path) if re.match(r"\w+:/", path) else (fs.LocalFileSystem(), path)
+
+
+def _load(path: str | None) -> bytes | None:
+    """A file's bytes by path or URI; None if it can't be opened."""
     try:
         if re.match(r"\w+:/", path or ""):
-            system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            system, name = filesystem(path)
             with system.open_input_file(name) as f:
                 return f.read()
         if not path or os.path.isdir(path):

@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, in the application's own folder;
-    a session without that setting, as in tests, gets a temporary one."""
+    """A new path below ``spark.checkpoint.dir``, in the application's own folder,
+    which goes when the driver ends.  A local session without that setting, as in
+    tests, gets a temporary one; on a cluster no machine's folder would do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
