@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .relational import errors, overlaps, zip_entries
 
-__all__ = ["as_json", "author_stats", "by_author", "comments", "corpus_stats", "document_stats", "errors", "find_by_id", "overlaps", "replies", "root_comments", "thread", "zip_entries"]
+__all__ = ["as_json", "author_stats", "by_author", "comments", "corpus_stats", "document_stats", "errors", "find_by_id", "last_of_equal_ids", "overlaps", "replies", "root_comments", "thread", "zip_entries"]
 #: The fields that each of these asks of ``archives.parse``.
 STATS_FIELDS = ("ordinal", "author", "date", "is_reply", "done")
 #: A comment's 18 fields, in their order; four are never filled.
@@ -56,14 +56,28 @@ def author_stats(files: DataFrame) -> DataFrame:
 
 
 def corpus_stats(files: DataFrame) -> DataFrame:
-    """The statistics of all files together, in one row."""
+    """The statistics of all files together, in one row.  Sums are taken per author
+    first, in a shuffle of partial sums, so that what meets in the last task is a
+    row per author and no set grows beside it; the sorted list of authors, which
+    is part of the result, is made of those."""
     date = F.nullif(F.col("date"), F.lit(""))
-    return comments(files).agg(
-        F.count(F.lit(1)).alias("total_comments"), F.count_if("done").alias("total_resolved"), F.count_if("is_reply").alias("total_replies"), F.count_if(~F.col("is_reply")).alias("total_root_comments"),
-        F.array_sort(F.collect_set("author")).alias("unique_authors"), F.coalesce(F.min(date), F.lit("")).alias("earliest_date"), F.coalesce(F.max(date), F.lit("")).alias("latest_date"),
+    per = comments(files).groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.count_if("done").alias("done"), F.count_if("is_reply").alias("replies"), F.min(date).alias("first"), F.max(date).alias("last"))
+    zero = F.lit(0).cast("bigint")
+    return per.agg(
+        F.coalesce(F.sum("n"), zero).alias("total_comments"), F.coalesce(F.sum("done"), zero).alias("total_resolved"), F.coalesce(F.sum("replies"), zero).alias("total_replies"), F.coalesce(F.sum(F.col("n") - F.col("replies")), zero).alias("total_root_comments"),
+        F.array_sort(F.collect_list("author")).alias("unique_authors"), F.coalesce(F.min("first"), F.lit("")).alias("earliest_date"), F.coalesce(F.max("last"), F.lit("")).alias("latest_date"),
     )
 
 
+def last_of_equal_ids(files: DataFrame, *fields: str) -> DataFrame:
+    """file_path, id and ``fields`` of the comment that counts for each id: the
+    last of its file.  Within a file's row."""
+    placed = F.array_sort(F.transform("comments", lambda c, i: F.struct(c.id.alias("id"), i.alias("at"), c.alias("c"))))
+    found = files.where("error_kind IS NULL").select("file_path", placed.alias("placed"))
+    last = F.filter("placed", lambda x, i: (i == F.size("placed") - 1) | (F.try_element_at("placed", i + 2)["id"] != x.id))
+    return found.select("file_path", F.inline(F.transform(last, lambda x: x.c))).select("file_path", "id", *fields)
+
+
 def find_by_id(files: DataFrame, ident: int) -> DataFrame:
     """In each file the last comment with that id."""
     hit = F.try_element_at(F.filter("comments", lambda c: c.id == ident), F.lit(-1))
