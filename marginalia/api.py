@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .errors import DocxParserError, raised
 from .operators import comments as ops
 from .sources import archives, document
+from .sources.staging import stage
 
 _ORDER = ("id", "ordinal")
 
@@ -83,61 +84,83 @@ class BatchParser:
 
     ``max_threads`` is the number of partitions that the paths are dealt to, 0 for
     Spark's own choice.  Results of a path parsed again replace the old ones;
-    errors stay until the object goes."""
+    errors stay until the object goes.  Which file is where stays in the decoded
+    tables: the driver holds a handle for each call of ``parse_all`` and the paths
+    that were released one by one."""
 
     def __init__(self, max_threads: int = 0, spark: SparkSession | None = None):
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.max_threads = max_threads
-        self._tables: list[_Tables] = []
-        self._home: dict[str, _Tables] = {}
-        self._errors: dict[str, str] = {}
+        self._tables: list[tuple[_Tables, list[str]]] = []
+        self._failed: DataFrame | None = None
 
     def parse_all(self, paths: list[str]) -> BatchParser:
         tables = _Tables(archives.read_paths(self.spark, list(paths), partitions=self.max_threads or None, fields=archives.ALL_FIELDS))
-        self._errors |= {r["file_path"]: r["message"] for r in ops.errors(tables.files).collect()}
-        good = tables.files.where("error_kind IS NULL").select("file_path").collect()
-        self._home |= {r["file_path"]: tables for r in good}
-        self._tables.append(tables)
+        failed = stage(ops.errors(tables.files))
+        self._failed = failed if self._failed is None else self._failed.unionByName(failed)
+        self._tables.append((tables, []))
         return self
 
-    def _of(self, path: str) -> _Tables:
-        if path not in self._home:
-            raise DocxParserError(f"File not parsed: {path}")
-        return self._home[path]
+    def _good(self) -> list[tuple[_Tables, DataFrame]]:
+        """The tables, the latest first, each with those of its files that count."""
+        out, later = [], None
+        for tables, gone in reversed(self._tables):
+            files = tables.files.where("error_kind IS NULL")
+            files = files.where(~F.col("file_path").isin(gone)) if gone else files
+            out.append((tables, files if later is None else files.join(later, "file_path", "left_anti")))
+            names = files.select("file_path")
+            later = names if later is None else later.unionByName(names)
+        return out
+
+    def _of(self, path: str) -> DataFrame:
+        for tables, gone in reversed(self._tables):
+            mine = tables.files.where((F.col("file_path") == path) & F.col("error_kind").isNull())
+            if path not in gone and mine.head(1):
+                return mine
+        raise DocxParserError(f"File not parsed: {path}")
 
     @property
     def df(self) -> DataFrame:
         """All comments of all files that are held."""
         out = None
-        for t in self._tables:
-            mine = [p for p, home in self._home.items() if home is t]
-            if mine:
-                rows = t.comments.join(self.spark.createDataFrame([(p,) for p in mine], "file_path string"), "file_path", "left_semi")
-                out = rows if out is None else out.unionByName(rows)
+        for _, files in self._good():
+            rows = ops.full(files)
+            out = rows if out is None else out.unionByName(rows)
         if out is None:
             raise DocxParserError("No document was parsed")
         return out
 
+    @property
+    def errors_df(self) -> DataFrame:
+        """file_path, error_kind and message of every file that failed."""
+        if self._failed is None:
+            raise DocxParserError("No document was parsed")
+        return self._failed
+
     def comments(self, path: str) -> list[Row]:
-        return self._of(path).comments.where(F.col("file_path") == path).orderBy(*_ORDER).collect()
+        return ops.full(self._of(path)).orderBy(*_ORDER).collect()
 
     def stats(self, path: str) -> Row:
-        return self._of(path).stats.where(F.col("file_path") == path).first()
+        return ops.document_stats(self._of(path)).first()
 
     def errors(self) -> dict[str, str]:
-        return dict(self._errors)
+        """The message of every file that failed, as a dictionary; ``errors_df`` is
+        the same for batches whose failures are too many for the driver."""
+        return {} if self._failed is None else {r["file_path"]: r["message"] for r in self._failed.collect()}
 
     def release(self, path: str) -> None:
         """Drops a file's results; its error, if it has one, stays."""
-        home = self._home.pop(path, None)
-        if home and home not in self._home.values():
-            home.release()
-            self._tables.remove(home)
+        for _, gone in self._tables:
+            gone.append(path)
+        for tables, gone in list(self._tables):
+            if not tables.files.where(F.col("error_kind").isNull() & ~F.col("file_path").isin(gone)).head(1):
+                tables.release()
+                self._tables.remove((tables, gone))
 
     def release_all(self) -> None:
-        for t in self._tables:
-            t.release()
-        self._tables, self._home = [], {}
+        for tables, _ in self._tables:
+            tables.release()
+        self._tables = []
 
 
 def to_dict(row: Row) -> dict:
