@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +116,51 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.lit("")
     turn = F.struct(F.lit(0).alias("id"), F.coalesce("url", empty).alias("author"), empty.alias("date"), empty.alias("initials"), F.coalesce("html", empty).alias("text"), empty.alias("style"), empty.alias("para_id"), empty.alias("parent"), F.lit(False).alias("done"), empty.alias("ids_para_id"))
     return _write(p.select(F.col("page_id").alias("conv_id"), F.array(turn).alias("turns"), F.array().cast("array<struct<what:string,id:int,text:string>>").alias("body")))
+
+
+def unreadable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose ids begin with no number (odd turns) or end in something else."""
+    t = _turns(spark, sf_dir)
+    number = F.col("turn.id").cast("string")
+    ident = F.when(F.col("turn.id") % 2 == 1, F.concat(F.lit("n"), number)).otherwise(F.concat(F.lit(" "), number, F.lit("th")))
+    turn = F.col("turn").withField("id", ident).withField("parent", F.lit(""))
+    grouped = t.select("conv_id", F.col("turn.id").alias("order"), turn.alias("turn")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "turn"))), lambda x: x.turn).alias("turns"))
+    return _write(grouped.withColumn("body", F.array().cast("array<struct<what:string,id:int,text:string>>")))
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One container per page with the entries page/url, other/none, page/html and
+    again page/url, the last the one that counts.  Page ids tell whether they are
+    stored or deflated (odd ones), and in ZIP64 or not (those divisible by 3)."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, data = [], []
+            for page, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                url, html = (url or "").encode(), (html or "").encode()
+                paths.append(f"page_{page}")
+                data.append(container.pack([("page/url", b"old"), ("other/none", b""), ("page/html", html), ("page/url", url)], 8 * (page % 2), wide=page % 3 == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(data, pa.binary())], ["file_path", "content"])
+
+    return p.select("page_id", "url", "html").mapInArrow(run, "file_path string, content binary")
+
+
+def written(files: DataFrame, folder: str) -> DataFrame:
+    """The contents of ``files`` written below ``folder``: file_path, where each is.
+    A file is renamed into place, so a task that runs again replaces it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = archives.filesystem(folder)
+        attempt = TaskContext.get().taskAttemptId()
+        for b in batches:
+            system.create_dir(base, recursive=True)
+            paths = []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with system.open_output_stream(f"{base}/{name}.{attempt}.tmp", compression=None) as out:
+                    out.write(content.as_py())
+                system.move(f"{base}/{name}.{attempt}.tmp", f"{base}/{name}.docx")
+                paths.append(f"{folder}/{name}.docx")
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["file_path"])
+
+    return files.select("file_path", "content").mapInArrow(run, "file_path string")

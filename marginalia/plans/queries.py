@@ -8,15 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.api import BatchParser
 from marginalia.operators import comments as ops
-from marginalia.operators import relational
+from marginalia.operators import entries, relational
 from marginalia.sources import archives, document
-from marginalia.sources.staging import stage
+from marginalia.sources.staging import shared_path, stage
 
 from . import corpus
 
 NO_BODY = (document.COMMENTS, document.EXTENDED, document.IDS)
 ONLY_COMMENTS = (document.COMMENTS,)
+SIZE_LIMIT = 1000
 
 
 def _files(spark: SparkSession, sf_dir: str, *fields: str, parts: tuple[str, ...] = NO_BODY) -> DataFrame:
@@ -109,8 +111,8 @@ def ids_fallback(spark, sf_dir):
 
 def duplicate_ids_last_wins(spark, sf_dir):
     """Of equal ids the one that lookups find."""
-    c = ops.comments(archives.parse(corpus.equal_ids(spark, sf_dir), NO_BODY, ("ordinal", "id", "author", "text")))
-    return c.groupBy("file_path", "id").agg(F.max_by("author", "ordinal").alias("author"), F.max_by("text", "ordinal").alias("text"))
+    files = archives.parse(corpus.equal_ids(spark, sf_dir), NO_BODY, ("id", "author", "text"))
+    return ops.last_of_equal_ids(files, "author", "text")
 
 
 def overlapping_ranges(spark, sf_dir):
@@ -132,6 +134,61 @@ def zip_prefix_scan(spark, sf_dir):
     return files.select("file_path", F.size(F.filter("entries", lambda e: e["name"].startswith("word/"))).cast("bigint").alias("n_parts"))
 
 
+def zip_has_entry(spark, sf_dir):
+    """Which archives have a part that only some do."""
+    return entries.has_entry(archives.parse(corpus.without_paragraph_ids(spark, sf_dir), ()), document.IDS)
+
+
+def zip_read_entry(spark, sf_dir):
+    """Stored and deflated entries, of ZIP and ZIP64 containers; the last of equal names."""
+    files = corpus.bundles(spark, sf_dir)
+    found = entries.read_entry(files, "page/url").unionByName(entries.read_entry(files, "page/none"))
+    return found.select("file_path", "ordinal", "name", "method", F.decode("data", "UTF-8").alias("text"), "message")
+
+
+def zip_read_into(spark, sf_dir):
+    """Entries of up to SIZE_LIMIT bytes; larger ones are errors."""
+    found = entries.read_entry(corpus.bundles(spark, sf_dir), "page/html", SIZE_LIMIT)
+    return found.select("file_path", F.decode("data", "UTF-8").alias("html"), "error_kind", "message")
+
+
+def zip_read_prefix(spark, sf_dir):
+    """All entries below a name, inflated."""
+    found = entries.read_prefix(corpus.bundles(spark, sf_dir), "page/")
+    return found.select("file_path", "ordinal", "name", "size", F.decode("data", "UTF-8").alias("text"))
+
+
+def _name(path: str = "file_path") -> F.Column:
+    return F.regexp_extract(path, r"([^/]+)\.docx$", 1)
+
+
+def _on_disk(spark, sf_dir: str) -> DataFrame:
+    """Paths of files that are there, and of as many that aren't."""
+    folder = shared_path(spark)
+    there = stage(corpus.written(corpus.conversations(spark, sf_dir, False), folder))
+    return there.unionByName(there.select(F.regexp_replace("file_path", r"\.docx$", "_gone.docx").alias("file_path")))
+
+
+def open_files(spark, sf_dir):
+    """Files opened by their paths; those that can't be opened leave an error."""
+    files = archives.read_paths(spark, _on_disk(spark, sf_dir), NO_BODY, fields=("id", "is_reply"))
+    n = F.when(F.col("error_kind").isNull(), F.size("comments")).cast("bigint")
+    return files.select(_name().alias("file_name"), "error_kind", F.regexp_replace("message", r": .*/([^/]+)\.docx$", ": $1").alias("message"), n.alias("n_comments"))
+
+
+def batch_parser(spark, sf_dir):
+    """The facade for many files, as DataFrames of comments and errors."""
+    paths = [r["file_path"] for r in _on_disk(spark, sf_dir).collect()]  # the facade takes a list
+    batch = BatchParser(spark=spark).parse_all(paths)
+    rows = batch.df.select(_name().alias("file_name"), "id", "author", "text")
+    return rows.unionByName(batch.errors_df.select(_name().alias("file_name"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("string").alias("author"), "error_kind").withColumnRenamed("error_kind", "text"))
+
+
+def unreadable_ids(spark, sf_dir):
+    """Comments whose ids are no numbers are left out."""
+    return ops.comments(archives.parse(corpus.unreadable_ids(spark, sf_dir), ONLY_COMMENTS, ("ordinal", "id", "author", "text")))
+
+
 def batch_errors(spark, sf_dir):
     return ops.errors(archives.parse(corpus.damaged(spark, sf_dir), NO_BODY, ops.STATS_FIELDS))
 
@@ -186,6 +243,19 @@ SQL = {
     "entity_roundtrip": "SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages",
     "zip_entries": "SELECT 'conv_' || conv_id AS file_path, ordinal, name, CAST(8 AS INTEGER) AS method FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES (0, '[Content_Types].xml'), (1, 'word/comments.xml'), (2, 'word/commentsExtended.xml'), (3, 'word/document.xml')) v(ordinal, name)",
     "zip_prefix_scan": "SELECT 'conv_' || conv_id AS file_path, CAST(3 AS BIGINT) AS n_parts FROM (SELECT DISTINCT conv_id FROM conversations)",
+    "zip_has_entry": "SELECT 'conv_' || conv_id AS file_path, bool_or(turn % 2 = 1) AS found FROM conversations GROUP BY conv_id",
+    "zip_read_entry": """SELECT 'page_' || page_id AS file_path, CAST(3 AS INTEGER) AS ordinal, 'page/url' AS name, CAST(page_id % 2 * 8 AS INTEGER) AS method, coalesce(url, '') AS text, CAST(NULL AS VARCHAR) AS message FROM pages
+      UNION ALL SELECT 'page_' || page_id, NULL, 'page/none', NULL, NULL, 'Entry not found: page/none' FROM pages""",
+    "zip_read_into": f"""SELECT 'page_' || page_id AS file_path, CASE WHEN n <= {SIZE_LIMIT} THEN body END AS html, CASE WHEN n > {SIZE_LIMIT} THEN 'container' END AS error_kind,
+      CASE WHEN n <= {SIZE_LIMIT} THEN NULL WHEN page_id % 2 = 0 THEN 'Buffer too small for stored entry: page/html' ELSE 'inflate failed (-5) for: page/html' END AS message
+      FROM (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages)""",
+    "zip_read_prefix": """SELECT 'page_' || page_id AS file_path, CAST(o AS INTEGER) AS ordinal, CASE o WHEN 2 THEN 'page/html' ELSE 'page/url' END AS name,
+      CAST(strlen(CASE o WHEN 2 THEN coalesce(html, '') ELSE coalesce(url, '') END) AS BIGINT) AS size, CASE o WHEN 2 THEN coalesce(html, '') ELSE coalesce(url, '') END AS text FROM pages, (VALUES (0), (2), (3)) v(o)""",
+    "open_files": """WITH f AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+      SELECT 'conv_' || conv_id AS file_name, CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS VARCHAR) AS message, n AS n_comments FROM f
+      UNION ALL SELECT 'conv_' || conv_id || '_gone', 'file', 'Cannot open file: conv_' || conv_id || '_gone', NULL FROM f""",
+    "batch_parser": f"SELECT file_path AS file_name, id, author, body AS text FROM {_T} UNION ALL SELECT DISTINCT 'conv_' || conv_id || '_gone', NULL::INTEGER, NULL::VARCHAR, 'file' FROM conversations",
+    "unreadable_ids": f"SELECT file_path, CAST(turn // 2 AS INTEGER) AS ordinal, id, author, body AS text FROM {_T} WHERE turn % 2 = 0",
     "batch_errors": """SELECT file_path, CASE WHEN k <= 3 THEN 'file' WHEN k = 4 THEN 'format' ELSE 'container' END AS error_kind,
       CASE k WHEN 1 THEN 'mmap failed: ' || file_path WHEN 2 THEN 'File too small to be a ZIP archive' WHEN 3 THEN 'EOCD signature not found — not a valid ZIP' WHEN 4 THEN 'Failed to parse word/comments.xml' ELSE 'Unsupported compression method 12 in: word/comments.xml' END AS message
       FROM (SELECT DISTINCT 'conv_' || conv_id AS file_path, conv_id % 6 AS k FROM conversations) WHERE k > 0""",
