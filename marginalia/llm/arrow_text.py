@@ -44,54 +44,43 @@ def folding() -> np.ndarray:
     return table
 
 
-def code_points(texts) -> tuple[np.ndarray, np.ndarray]:
+#: Code points worked on at a time.  What is held beside the texts grows with
+#: this, not with their length.
+WINDOW = 1 << 20
+
+
+def windows(texts, rows: int = 1 << 30):
+    """The texts in groups of WINDOW code points (marks counted) and ``rows`` texts
+    at most: the number of each text, its piece, and whether the last goes on in
+    the next group, which only a text longer than a window does.  None is ''."""
+    who: list[int] = []
+    pieces: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        if pieces and (size + len(t) + 1 > WINDOW or len(pieces) >= rows):
+            yield who, pieces, False
+            who, pieces, size = [], [], 0
+        at = 0
+        while len(t) - at + 1 > WINDOW:
+            yield [i], [t[at : at + WINDOW - 1]], True
+            at += WINDOW - 1
+        who.append(i)
+        pieces.append(t[at:] if at else t)
+        size += len(t) - at + 1
+    if pieces:
+        yield who, pieces, False
+
+
+def code_points(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points of a list of texts, each text followed by one 0, and the
-    offset of each text.  None counts as an empty text."""
-    if isinstance(texts, (pa.Array, pa.ChunkedArray)):
-        texts = texts.to_pylist()
-    texts = [t or "" for t in texts]
-    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    joined = "\0".join(texts) + "\0" if texts else ""
+    offset of each text and of the end."""
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+    joined = "\0".join(pieces) + "\0" if pieces else ""
     flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     return flat, np.concatenate([[0], np.cumsum(lens)])
 
 
-def word_spans(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded code points, start and end of every word, and for each text the
-    index of its first word (one more than there are texts)."""
-    flat, offs = code_points(texts)
-    low = folding()[flat]
-    inside = low != 0
-    if not len(flat):
-        z = np.zeros(0, np.int64)
-        return low, z, z, np.zeros(len(offs), np.int64)
-    edge = np.diff(np.concatenate([[False], inside]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return low, starts, ends, np.searchsorted(starts, offs)
-
-
-@lru_cache(4)
-def _weights(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
-
-
-def word_hashes(texts, with_lengths: bool = False):
-    """64-bit hash of every word, in order, and each text's offsets; optionally
-    the words' lengths too."""
-    low, starts, ends, offs = word_spans(texts)
-    if not len(starts):
-        out = np.zeros(0, np.uint64), offs
-        return (*out, np.zeros(0, np.int64)) if with_lengths else out
-    lens = ends - starts
-    inside = low != 0
-    chars = low[inside].astype(np.uint64)
-    begin = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    where = np.arange(len(chars)) - np.repeat(begin, lens)
-    longest = 1 << int(lens.max() - 1).bit_length() if lens.max() > 1 else 1
-    h = mix(np.add.reduceat(chars * _weights(longest)[where], begin) + lens.astype(np.uint64))
-    return (h, offs, lens) if with_lengths else (h, offs)
-
-
 def ngram_hashes(h: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams inside each text and the index of the text of each.
     A text of fewer than n words has none."""
@@ -154,36 +143,62 @@ def _letters() -> np.ndarray:
 
 
 _BASE = 0x9E6C63D0876A9A47
-_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, n of each at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max((1 << 20) + 2, n)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.ones(size, np.uint64)
-            done, step = 1, base
-            while done < size:  # the next as many are the first, times base**done
-                more = out[done : 2 * done]
-                more[:] = out[: len(more)] * np.uint64(step)
-                done, step = 2 * done, step * step % (1 << 64)
-            _powers.append(out)
-    return _powers[0], _powers[1]
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, enough for a window."""
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        out = np.ones(WINDOW + 2, np.uint64)
+        done, step = 1, base
+        while done < len(out):  # the next as many are the first, times base**done
+            more = out[done : 2 * done]
+            more[:] = out[: len(more)] * np.uint64(step)
+            done, step = 2 * done, step * step % (1 << 64)
+        both.append(out)
+    return both[0], both[1]
+
+
+def runs(texts, value: np.ndarray, also=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every maximal run of code points whose ``value`` isn't 0: a polynomial in
+    the values, read off their running sum over a window, the length, and the
+    number of the text, in order.  A run that windows cut is put together again.
+    ``also`` is called with the numbers, code points and offsets of each window."""
+    sums, lens, owners = [], [], []
+    up, down = powers()
+    on = False
+    for who, pieces, goes_on in windows(texts):
+        flat, offs = code_points(pieces)
+        if also:
+            also(np.array(who), flat, offs)
+        v = value[flat]
+        v[offs[1:] - 1] = 0
+        inside = np.concatenate([[False], v != 0]).view(np.int8)
+        edge = np.flatnonzero(inside[1:] != inside[:-1])  # the marks make the edges come in pairs
+        starts, ends = edge[::2], edge[1::2]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * up[: len(v)])])
+        s, n = (total[ends] - total[starts]) * down[starts], ends - starts
+        owner = np.array(who)[np.searchsorted(offs, starts, "right") - 1]
+        if on and len(starts) and starts[0] == 0:
+            sums[-1][-1:] += np.uint64(pow(_BASE, int(lens[-1][-1]), 1 << 64) * int(s[0]) & (1 << 64) - 1)
+            lens[-1][-1] += n[0]
+            s, n, owner = s[1:], n[1:], owner[1:]
+        if len(s):
+            sums.append(s)
+            lens.append(n)
+            owners.append(owner)
+        on = goes_on and len(ends) > 0 and bool(ends[-1] == offs[-1] - 1)
+    if not sums:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(sums), np.concatenate(lens), np.concatenate(owners)
 
 
 def hash_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, each text's offsets, and the words' lengths:
-    a polynomial in the letters, read off its running sum over the whole batch."""
-    flat, offs = code_points(texts)
-    value = _letters()[flat]
-    if not len(flat):
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), np.zeros(0, np.int64)
-    inside = np.concatenate([[False], value != 0]).view(np.int8)
-    edge = np.flatnonzero(inside[1:] != inside[:-1])  # each text ends in a 0, so edges come in pairs
-    starts, ends = edge[::2], edge[1::2]
-    up, down = powers(len(flat) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(flat)])])
-    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, offs), ends - starts
+    """A 64-bit hash of every word, each text's offsets, and the words' lengths.
+    Works through the texts in windows, so that beside them only some eight bytes
+    a word are held several times over."""
+    if isinstance(texts, (pa.Array, pa.ChunkedArray)):
+        texts = texts.to_pylist()
+    s, n, owner = runs(texts, _letters())
+    return mix(s + n.astype(np.uint64)), np.searchsorted(owner, np.arange(len(texts) + 1)), n

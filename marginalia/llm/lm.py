@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import mix, slices, word_hashes
+from .arrow_text import hash_words, mix, slices
 from .shared import cut
 
 ORDER = 2
@@ -31,7 +31,7 @@ def grams(texts: pa.Array | pa.ChunkedArray, order: int) -> tuple[list[np.ndarra
     the text has no k words yet), and the texts' offsets."""
     hs, lens = [], []
     for b in slices([pa.RecordBatch.from_arrays([c], ["text"]) for c in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts])], 2 << 20):
-        h, offs = word_hashes(b.column(0))
+        h, offs, _ = hash_words(b.column(0))
         hs.append(h)
         lens.append(np.diff(offs))
     h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import code_points, mix, powers, trim
+from .arrow_text import mix, runs, trim
 from .shared import bounded, cut, unused
 
 #: rule -> (hard, soft): numerator times the factor exceeds the denominator.
@@ -29,7 +29,6 @@ RULES = {
     "long_words": ("n_solid", "n_words * 40", 1, 2),
 }
 HOST_RATE = 0.5
-SLICE_CHARS = 900_000
 #: Columns that judge() adds.
 ADDED = ("host_docs", "host_fails", "host_rate", "hard_fails", "soft_fails", "keep")
 _BLANK = "[ \\t\\n\\r]+"
@@ -41,7 +40,7 @@ _COUNTS = ("n_chars", "n_solid", "n_words", "n_symbols", "n_pipes", "n_upper", "
 
 @lru_cache(1)
 def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point the set of its classes, and a random word."""
+    """For each code point the set of its classes, and a random word, 0 for blanks."""
     import unicodedata
 
     out = np.zeros(0x110000, np.uint8)
@@ -52,33 +51,28 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     out[[ord(c) for c in " \t\n\r.,;:'()-"]] |= _PLAIN
     out[[ord(c) for c in " \t\n\r"]] |= _SPACE
     out[ord("|")] |= _PIPE
-    return out, mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    value = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return out, np.where(out & _SPACE, np.uint64(0), value)
 
 
 def measures(texts: list[str | None]) -> np.ndarray:
     """A row of _COUNTS for each text, null like ''.  Words are what blanks part;
-    n_adjacent counts those equal to the word before."""
-    classes, letters = _classes()
-    flat, offs = code_points(texts)
-    if not len(flat):
-        return np.zeros((0, len(_COUNTS)), np.int64)
-    c = classes[flat]
-    c[offs[1:] - 1] = _SPACE  # the mark behind each text
-    sums = [np.add.reduceat((c & bit) != 0, offs[:-1], dtype=np.int64) for bit in (_LETTER, _UPPER, _PLAIN, _SPACE, _PIPE)]
-    n = np.diff(offs) - 1
-    solid = np.concatenate([[False], (c & _SPACE) == 0])
-    edge = np.flatnonzero(solid[1:] != solid[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    up, down = powers(len(flat) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[flat] * up[: len(flat)])])
-    h = (total[ends] - total[starts]) * down[starts]
-    first = np.searchsorted(starts, offs)
-    owner = np.repeat(np.arange(len(n)), np.diff(first))
-    same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1]) & (np.diff(ends - starts) == 0)
-    adjacent = np.bincount(owner[1:][same], minlength=len(n))
-    # the mark counts as a blank, and as neither plain nor anything else
-    plain = sums[2]
-    return np.stack([n, n - (sums[3] - 1), np.diff(first), n - plain, sums[4], sums[1], sums[0], adjacent], 1)
+    n_adjacent counts those equal to the word before.  In windows, so that a
+    text's length doesn't matter."""
+    classes, value = _classes()
+    sums = np.zeros((len(texts), 6), np.int64)
+
+    def also(who: np.ndarray, flat: np.ndarray, offs: np.ndarray) -> None:
+        c = classes[flat]
+        c[offs[1:] - 1] = 0
+        sums[who, 0] += np.diff(offs) - 1
+        for k, bit in enumerate((_LETTER, _UPPER, _PLAIN, _SPACE, _PIPE), 1):
+            sums[who, k] += np.add.reduceat((c & bit) != 0, offs[:-1], dtype=np.int64)
+
+    h, n, owner = runs(texts, value, also)
+    same = (h[1:] == h[:-1]) & (n[1:] == n[:-1]) & (owner[1:] == owner[:-1])
+    words, adjacent = np.bincount(owner, minlength=len(texts)), np.bincount(owner[1:][same], minlength=len(texts))
+    return np.stack([sums[:, 0], sums[:, 0] - sums[:, 4], words, sums[:, 0] - sums[:, 3], sums[:, 5], sums[:, 2], sums[:, 1], adjacent], 1)
 
 
 def counts(text: Column) -> Column:
@@ -88,13 +82,9 @@ def counts(text: Column) -> Column:
 
     @F.pandas_udf(", ".join(f"{k} bigint" for k in _COUNTS))
     def f(texts: pd.Series) -> pd.DataFrame:
-        values = [t if isinstance(t, str) else None for t in texts]
-        size = np.cumsum([len(t or "") + 1 for t in values])
-        cuts = np.searchsorted(size, np.arange(SLICE_CHARS, size[-1] if len(size) else 0, SLICE_CHARS)) + 1
-        bounds = [0, *np.unique(cuts).tolist(), len(values)]
-        parts = [measures(values[a:b]) for a, b in zip(bounds, bounds[1:]) if b > a]
+        out = measures([t if isinstance(t, str) else None for t in texts])
         trim()
-        return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(_COUNTS)), np.int64), columns=list(_COUNTS))
+        return pd.DataFrame(out, columns=list(_COUNTS))
 
     return f(text)
 
@@ -164,7 +154,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns as they were."""
+    """The rows of ``docs`` that the rules keep, with all their columns as they were.
+    Null, empty and blank texts go; repeated rows stay repeated; a null host is a
+    host; a table without rows gives none."""
     own = {c: unused(docs, "__own_" + c)[0] for c in docs.columns if c.lower() in ADDED}
     kept = judge(docs.withColumnsRenamed(own)).where("keep")
     return kept.select(*[F.col("`" + own.get(c, c).replace("`", "``") + "`").alias(c) for c in docs.columns])

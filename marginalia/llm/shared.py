@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path under ``spark.checkpoint.dir``, in the application's own folder,
-    which can be removed when the application has ended; only a session that
-    names no such setting (a test) gets a temporary one."""
+    which goes when the driver ends.  Without that setting a local session (a
+    test) gets a temporary folder, and a cluster's session an error: a folder of
+    one machine is none for the others."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,7 +45,7 @@ def lookup(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-#: Rows of an Arrow batch that holds texts, where the session leaves it at Spark's 10,000.
+#: Rows of an Arrow batch that holds texts, in a session that doesn't say how many.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -47,9 +53,9 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def bounded(df: DataFrame) -> DataFrame:
     """``df``; its session sends texts to Python in batches of BATCH_ROWS at most.
     Spark counts a batch in rows, and 10,000 texts of a hundred kilobytes are a
-    gigabyte.  A session that has a value of its own keeps it."""
+    gigabyte.  A session that was given a value, Spark's own too, keeps it."""
     conf = df.sparkSession.conf
-    if conf.get(_BATCH, "10000") == "10000":
+    if conf.get(_BATCH, None) is None:
         conf.set(_BATCH, str(BATCH_ROWS))
     return df
 
