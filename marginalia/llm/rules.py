@@ -126,20 +126,17 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", host_rate: fl
     """``df`` with host_docs, host_fails, host_rate, hard_fails, soft_fails, keep.
 
     One row per row of ``df``: repeated rows and null ids are judged like others,
-    an empty table gives an empty one, and same-named columns are replaced.  Host
-    sums are written to the shared folder first, so that the join back knows
-    their size: few hosts are broadcast and no text is shuffled; more hosts than
-    the session's threshold are joined by shuffle.  Without ``with_text`` the text
-    column is left out of the result; the flagged rows are then written too, and
-    the rules run once instead of twice."""
+    an empty table gives an empty one, and same-named columns are replaced; null
+    and empty texts fail the rule for texts without words.  The flagged rows are
+    written to the shared folder, so the rules run once over each text and the
+    host sums read two columns.  Few hosts are broadcast and no text is shuffled;
+    more hosts than the session's threshold are joined by shuffle.  Without
+    ``with_text`` the text column is left out, of what is written too."""
     base = df.drop(*ADDED)
     (name,) = unused(base, "__host")
-    if with_text:
-        flagged, flags = flag(base, text), flag(base.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")))
-    else:
-        flagged = cut(flag(base, text).drop(text))
-        flags = flagged.select(F.col(f"`{host}`").alias("host"), "soft_fails")
-    rates = cut(host_rates(flags.select("host", "soft_fails"))).withColumnRenamed("host", name)
+    flagged = flag(base, text)
+    flagged = cut(flagged if with_text else flagged.drop(text))
+    rates = cut(host_rates(flagged.select(F.col(f"`{host}`").alias("host"), "soft_fails"))).withColumnRenamed("host", name)
     out = flagged.join(rates, F.col(f"`{host}`").eqNullSafe(F.col(name)), "left").drop(name)
     bad = (F.col("hard_fails") > 0) | ((F.col("soft_fails") > 0) & (F.coalesce(F.col("host_rate"), F.lit(0.0)) > host_rate))
     return out.withColumn("keep", ~bad)

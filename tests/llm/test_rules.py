@@ -1,7 +1,10 @@
+import re
+
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
-from marginalia.llm import rules
+from marginalia.llm import arrow_text, rules
 from tests.llm.odd import EXTRA, ROWS, SCHEMA, frame, words
 
 
@@ -26,9 +29,43 @@ def test_equals_sql(spark):
 
 
 def test_bad_hosts_and_clean_documents(spark):
-    out = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows(), SCHEMA)).collect()}
-    assert all(out[i]["keep"] for i in range(10, 60)) and all(out[i]["keep"] for i in (1, 2, 5, 6))
-    assert not any(out[i]["keep"] for i in (100, 101, 300, 301, 4, 7))
+    """Some ids occur twice, with other texts."""
+    kept = {(r["doc_id"], r["text"]): r["keep"] for r in rules.judge(spark.createDataFrame(rows(), SCHEMA)).collect()}
+    text = {r[0]: r[1] for r in rows()}  # the later of equal ids
+    assert all(kept[i, text[i]] for i in [*range(10, 60), 1, 2, 5, 6])
+    assert not any(kept[i, text[i]] for i in (100, 101, 300, 301, 4, 7))
+
+
+def test_measures_in_windows(monkeypatch):
+    texts = ["one one | two\tTWO  three", None, "", " ", "\0x x\0", "A" * 90 + " " + "A" * 90, "d\u00e9 \n d\u00e9 d\u00e9 \U0001f600!!", "same " * 40]
+    want = rules.measures(texts)
+    assert want[:, 2].tolist() == [len(re.findall("[^ \t\n\r]+", t or "")) for t in texts] and want[:, 0].tolist() == [len(t or "") for t in texts]
+    assert want[:, 7].tolist() == [sum(a == b for a, b in zip(w, w[1:])) for w in (re.findall("[^ \t\n\r]+", t or "") for t in texts)]
+    for window in (2, 3, 7, 41, 91):
+        monkeypatch.setattr(arrow_text, "WINDOW", window)
+        assert (rules.measures(texts) == want).all()
+
+
+def test_rules_run_once(spark, tmp_path, monkeypatch):
+    """One pass of Python over the texts, then what was written is read."""
+    seen = tmp_path / "seen"
+    monkeypatch.setattr(rules, "counts", _logged(rules.counts, str(seen)))
+    df = spark.createDataFrame(rows(), SCHEMA)
+    got = rules.stage(spark, df, "").count()
+    assert 60 < got < len(rows()) and len(seen.read_text().splitlines()) == len(rows())
+
+
+def _logged(counts, path):
+    def wrapped(text):
+        @F.udf("string")
+        def log(t):
+            with open(path, "a") as f:
+                f.write("x\n")
+            return t
+
+        return counts(log(text))
+
+    return wrapped
 
 
 def test_prior_by_hand(spark):
