@@ -35,6 +35,8 @@ SEGMENTS = 5
 INDICES = (6 * 1771 + 277) / 2048
 #: Rows that one task compares at a time; how rows are dealt, not what is found.
 ROWS_PER_TASK = 60_000
+#: Edges that are joined into groups in one task: some 100 MB there.
+EDGES_PER_TASK = 1_000_000
 _GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _SEEDS = np.array([0x51ED270B9F4A7C15, 0xA24BAED4963EE407], np.uint64)
 
@@ -253,11 +255,15 @@ def links(nodes: DataFrame, n: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component), for nodes that have an edge:
-    alternating large-star and small-star steps, each written to the shared folder."""
+    """node, root (the least node of its component), for nodes that have an edge.
+    Up to EDGES_PER_TASK edges, which are counted, are joined in one task; more
+    by alternating large-star and small-star steps, each written to the shared
+    folder, until they are as few or nothing changes."""
     edges = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
     before = None
     while True:
+        if edges.count() <= EDGES_PER_TASK:
+            return edges.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(_join_up, "node bigint, root bigint")
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").selectExpr("v AS u", "least(u, m) AS v").distinct()
@@ -270,6 +276,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _join_up(t: pa.Table) -> pa.Table:
+    """node and root for all edges (u, v) at once."""
+    node, ends = np.unique(np.concatenate([t.column("u").to_numpy(), t.column("v").to_numpy()]), return_inverse=True)
+    label = _labels(len(node), ends[: t.num_rows], ends[t.num_rows :])
+    return pa.table({"node": node, "root": node[label]})
+
+
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The fingerprint table of rows with words, and node, root, group_id,
     group_size for the nodes of groups of two rows or more."""
@@ -325,4 +338,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``docs``, one of each group of near-duplicates, see keep_one()."""
     return keep_one(docs)
