@@ -10,10 +10,13 @@ least of its bin on the document's side is about exp(-CERTAINTY).  The bins are
 nested, so the signature for the smallest item holds those for larger ones.
 Candidates are verified by exact shingle containment.
 
-Documents meet items in a join on shingle hashes.  A Bloom filter of the items'
-hashes travels with the scan, so that only shingles which may be an item's leave
-it, marked if they are in the document's signature: the same join tells the
-candidates and counts what they share.
+A Bloom filter of the items' hashes travels with the scan, so that only shingles
+which may be an item's leave it, marked if they are in the document's signature.
+They are written once.  Candidates come from a join of signatures alone, in which
+a document meets only items of a size that its number of such shingles can reach:
+texts that share no more than a common phrase with many items meet none of them.
+The shingles of a candidate pair are then compared along the shorter of the two
+lists.
 """
 
 from __future__ import annotations
@@ -136,19 +139,38 @@ def _search(src: DataFrame, shingles: DataFrame, kind: str) -> DataFrame:
             level = np.ceil(np.log2(np.maximum(1, np.diff(offs) - SHINGLE + 1))).astype(np.int32)
             for k in ks:
                 g, doc, signed = _signed(h, offs, k, bloom, least)
-                # a text none of whose signature is an item's is no candidate
+                # a text none of whose signature is an item's is no candidate, nor is one with too few shingles
                 may = np.zeros(b.num_rows, bool)
                 may[doc[signed]] = True
+                hits = np.bincount(doc, minlength=b.num_rows)
+                if k == SHINGLE:
+                    may &= hits >= THRESHOLD * least
                 keep = may[doc]
                 g, doc, signed = g[keep], doc[keep], signed[keep]
                 at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(level[doc]), pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(signed)], ["row", "doc_id", "text_hash", "level", "k", "hash", "signed"])
-
-    found = src.mapInArrow(sign, f"row bigint, doc_id {kind}, text_hash bigint, level int, k int, hash bigint, signed boolean")
-    both = found.join(shingles, ["k", "hash"])
-    in_both = F.col("signed") & ((F.col("k") < SHINGLE) | F.expr("shiftright(levels, level) & 1 = 1"))
-    count = both.groupBy("row", "doc_id", "text_hash", "item_id", "item_row", "size").agg(F.count(F.lit(1)).alias("shared"), F.bool_or(in_both).alias("candidate"))
-    return count.where(F.col("candidate") & (F.col("shared") >= THRESHOLD * F.col("size"))).select("doc_id", "item_id", "shared", "size", (F.col("shared") / F.col("size")).alias("containment"), "text_hash")
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(level[doc]), pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(signed), pa.array(hits[doc])], ["row", "doc_id", "text_hash", "level", "k", "hash", "signed", "hits"])
+
+    found = cut(src.mapInArrow(sign, f"row bigint, doc_id {kind}, text_hash bigint, level int, k int, hash bigint, signed boolean, hits bigint"))
+    pairs = cut(candidates(found, shingles))
+    ours, theirs = found.select("row", "k", "hash"), shingles.select("item_row", "k", "hash")
+    by_doc = pairs.where("hits <= size").join(ours, ["row", "k"]).join(theirs, ["item_row", "k", "hash"])
+    by_item = pairs.where("hits > size").join(theirs, ["item_row", "k"]).join(ours, ["row", "k", "hash"])
+    shared = by_doc.select(*pairs.columns).unionByName(by_item.select(*pairs.columns))
+    count = shared.groupBy("row", "doc_id", "text_hash", "item_id", "item_row", "size").agg(F.count(F.lit(1)).alias("shared"))
+    return count.where(F.col("shared") >= THRESHOLD * F.col("size")).select("doc_id", "item_id", "shared", "size", (F.col("shared") / F.col("size")).alias("containment"), "text_hash")
+
+
+def candidates(found: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Pairs of a document's row and an item's that share a shingle which both
+    signatures hold, once each; no pair whose document has too few shingles of
+    any item to hold this one.  Sizes are met by their power of two, so that such
+    pairs don't arise in the join either."""
+    power = lambda c: F.floor(F.log2(c.cast("double"))).cast("int")
+    most = F.floor(F.col("hits") / THRESHOLD + 1e-9)
+    signed = found.where("signed").withColumn("most", most).withColumn("power", F.explode(F.sequence(F.lit(0), power(F.col("most")))))
+    in_both = (F.col("k") < SHINGLE) | F.expr("shiftright(levels, level) & 1 = 1")
+    both = signed.join(shingles.withColumn("power", power(F.col("size"))), ["k", "hash", "power"]).where((F.col("size") <= F.col("most")) & in_both)
+    return both.select("row", "doc_id", "text_hash", "hits", "item_id", "item_row", "size", "k").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -178,7 +200,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
+    """The rows of ``docs`` that contain no item, with all their columns.  Null and
+    empty texts contain none and stay, repeated rows stay or go together, and
+    without items, or without rows, nothing changes."""
     (name,) = unused(docs, "__bad")
     bad = cut(contaminated(docs, items, doc_id, text).select(F.col("text_hash").alias(name)).distinct())
     return docs.join(lookup(bad), F.xxhash64(F.col(f"`{text}`")) == F.col(name), "left_anti")
@@ -193,6 +217,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``docs`` without an item of the table ``benchmark``, see clean()."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
