@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
-Candidate spans come from loose patterns; of IP addresses only IPv4 has one.  Labelers of three sorts vote on each
-(1 personal, 0 not, or abstain): regular expressions (strict form, boundaries,
+Candidate spans come from loose patterns; of IP addresses only IPv4 has one.
+Labelers of three sorts vote on each (1 personal, 0 not, or abstain): regular expressions (strict form, boundaries,
 check digits), gazetteers (top-level domains, calling codes, issuer prefixes,
 reserved networks) and context (words around, numbers around).  Expectation-
 maximisation over the counts of all vote patterns estimates each labeler's
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .shared import bounded, columns, cut
+from .shared import bounded, columns, cut, unused
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "number")
 CUTOFF = 0.5
@@ -53,9 +53,16 @@ _STRICT = {
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,}"),
     "number": re.compile(r"(?!)"),
 }
-DOMAINS = frozenset("com org net edu gov mil int info biz io co uk us de fr es it nl be ch at pt pl se no dk fi ie ca mx br ar au nz jp cn in kr ru eu example".split())
-CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 351 352 353 354 358 359 370 371 372 380 385 386 420 421".split())
-COUNTRIES = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
+#: Gazetteers: generic and country top-level domains, calling codes of countries
+#: and services, and countries with bank account numbers of this form.
+DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro io co app dev ai cloud online site shop xyz club blog tech store agency email museum travel jobs mobi coop aero example "
+    "ac ad ae af ag al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+CALLING = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 232 233 234 235 236 237 238 239 240 241 242 243 244 245 246 247 248 249 250 251 252 253 254 255 256 257 258 260 261 262 263 264 265 266 267 268 269 290 291 297 298 299 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 378 380 381 382 383 385 386 387 389 420 421 423 500 501 502 503 504 505 506 507 508 509 590 591 592 593 594 595 596 597 598 599 670 672 673 674 675 676 677 678 679 680 681 682 683 685 686 687 688 689 690 691 692 800 808 850 852 853 855 856 870 878 880 881 882 883 886 888 960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 979 992 993 994 995 996 998".split()
+)
+COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BI BR BY CH CR CY CZ DE DJ DK DO EE EG ES FI FK FO FR GB GE GI GL GR GT HN HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MN MR MT MU NI NL NO OM PK PL PS PT QA RO RS RU SA SC SD SE SI SK SM SO ST SV TL TN TR UA VA VG XK YE".split())
 _PERSONAL = re.compile(r"\b(?:e-?mails?|mail|contact|phone|tel|telephone|call|mobile|cell|fax|card|visa|credit|ssn|iban|account|ip|address|teléfono|correo|tarjeta|llame|courriel|carte|appelez|karte|konto|anruf|adresse)\b", re.I)
 _OTHER = re.compile(r"\b(?:version|release|licen[cs]e|licensed|section|chapter|page|isbn|doi|figure|fig|table|build|kapitel|seite|capítulo|chapitre|rfc|error)\b", re.I)
 
@@ -208,11 +215,21 @@ def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.n
 
 def train(found: DataFrame) -> np.ndarray:
     """Weights of the span classifier for the candidates in ``found`` (code)."""
+    return _fit_codes(found)[0]
+
+
+def _fit_codes(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and the codes that occur."""
     rows = found.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").toPandas()
-    kind, v, x = _decode(rows["code"].to_numpy(np.int64))
+    codes = rows["code"].to_numpy(np.int64)
+    kind, v, x = _decode(codes)
     n = rows["n"].to_numpy(float)
     post, _, _ = reliabilities(kind, v, n)
-    return fit(x, post, n)
+    return fit(x, post, n), codes
+
+
+def _kind(code: int) -> int:
+    return code // (64 * 3 ** len(LABELERS))
 
 
 def probability(code: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -222,7 +239,8 @@ def probability(code: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, end (in characters, end excluded), kind, span and feature
-    code of every candidate."""
+    code of every candidate.  Null and empty texts have none, repeated rows have
+    theirs repeated, texts are scanned to their end; only the two columns are used."""
     src = bounded(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,29 +276,42 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with ``text`` masked: every span held for
-    personal data becomes its kind in brackets.  Null stays null, '' stays ''."""
-    w = train(cut(candidates(docs.select(F.lit(0).alias("__none"), F.col(f"`{text}`").alias("__text")), "__none", "__text").select("code")))
+    personal data becomes its kind in brackets.  Null stays null, '' stays '',
+    repeated rows are masked alike, and a table without rows gives none.
+
+    The candidate spans are written beside the rows, so that texts are scanned
+    once; the masks are put in where a row has any."""
+    (name,) = unused(docs, "__spans")
+    where = F.col(f"`{text}`")
+
+    @F.pandas_udf("array<struct<start:bigint,end:bigint,code:bigint>>")
+    def scan(texts):
+        import pandas as pd
+
+        return pd.Series([[{"start": s, "end": e, "code": c} for s, e, _, c in spans(t)] if t else [] for t in texts], dtype=object)
+
+    found = cut(bounded(docs).withColumn(name, scan(where)))
+    w, codes = _fit_codes(found.select(F.explode(F.col(name)["code"]).alias("code")))
+    held = [int(c) for c in codes[probability(codes, w) >= CUTOFF]] if len(codes) else []
+    if not held:
+        return found.drop(name)
 
     @F.pandas_udf("string")
-    def mask(texts):
+    def mask(texts, found):
         import pandas as pd
 
-        known: dict[int, bool] = {}
         out = []
-        for t in texts:
-            if t:
-                parts, at = [], 0
-                for s, e, k, code in spans(t):
-                    if code not in known:
-                        known[code] = bool(probability(np.array([code]), w)[0] >= CUTOFF)
-                    if known[code]:
-                        parts += [t[at:s], f"[{KINDS[k].upper()}]"]
-                        at = e
-                t = "".join([*parts, t[at:]]) if at else t
-            out.append(t)
+        for t, rows in zip(texts, found):
+            parts, at = [], 0
+            for r in rows:
+                parts += [t[at : r["start"]], f"[{KINDS[_kind(r['code'])].upper()}]"]
+                at = r["end"]
+            out.append("".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(text, mask(F.col(f"`{text}`")))
+    found = found.withColumn(name, F.filter(name, lambda x: x["code"].isin(held)))
+    plain, masked = found.where(F.size(name) == 0), found.where(F.size(name) > 0)
+    return plain.drop(name).unionByName(masked.withColumn(text, mask(where, F.col(name))).select(*columns(docs)))
 
 
 QUERY = "op3_weakly_supervised_pii"
@@ -292,7 +323,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masked documents; where there is a column n_chars it counts the new text."""
+    """Masked documents, all rows, see redact(); a column n_chars counts the new text."""
     out = redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
