@@ -2,9 +2,10 @@ import os
 
 import numpy as np
 import pytest
+import sentencepiece
 
 import corpus_pipeline
-from marginalia.llm import decontaminate, rules, simhash, spm
+from marginalia.llm import decontaminate, pii, rules, simhash, spm
 from tests.llm.odd import SCHEMA, frame
 from tests.llm.test_decontaminate import brute as contained
 
@@ -29,11 +30,15 @@ def test_against_brute_force(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {d for d, *_ in contained(rows, items)}
     rows = [r for r in rows if r[0] not in bad]
-    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    masked = dict(rows)
+    for r in sorted(pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: -r["start"]):
+        t = masked[r["doc_id"]]  # from the last span to the first
+        masked[r["doc_id"]] = f"{t[: r['start']]}[{r['kind'].upper()}]{t[r['end'] :]}"
+    library = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == {i for i, _ in rows}
-    assert all(r["decoded"] == masked[i] and len(r["ids"]) == r["n_tokens"] for i, r in got.items())
-    assert not any("@mail" in r["decoded"] for r in got.values())
+    assert all(r["decoded"] == masked[i] and r["ids"] == library.encode(masked[i]) and len(r["ids"]) == r["n_tokens"] for i, r in got.items())
+    assert not any("@mail" in r["decoded"] for r in got.values()) and any(masked[i] != t for i, t in rows)
 
 
 def test_stages_bear_odd_rows(spark):
