@@ -48,10 +48,10 @@ def table(request, binary, files):
 def test_canonical(table):
     a, b, c = table["f0"]
     assert (a["is_reply"], a["parent_id"], a["done"], a["thread_ids"], a["para_id_parent"]) == (False, -1, False, [0, 1, 2], "")
-    assert (b["is_reply"], b["parent_id"], b["done"], b["thread_ids"], b["para_id_parent"]) == (True, 0, False, [], "AAAA0001")
+    assert (b["is_reply"], b["parent_id"], b["done"], b["thread_ids"], b["para_id_parent"]) == (True, 0, False, [], "7C31E5B1")
     assert (c["is_reply"], c["parent_id"], c["done"]) == (True, 0, True)
-    assert a["referenced_text"] == "The quick brown fox jumps over the lazy dog." and b["referenced_text"] == ""
-    assert [tuple(r) for r in a["replies"]] == [(1, "Bob Reviewer", "2024-03-02T14:30:00Z", "Agreed, let me fix this."), (2, "Alice Tester", "2024-03-03T09:00:00Z", "Thanks for the quick fix!")]
+    assert a["referenced_text"] == "Loads above forty are carried by two frames." and b["referenced_text"] == ""
+    assert [tuple(r) for r in a["replies"]] == [(1, "Ivo Brandt", "2023-11-06T17:40:00Z", "It is in kilograms, I add it."), (2, "Nora Quill", "2023-11-09T07:05:00Z", "Now the table agrees with it.")]
     assert b["replies"] == [] and (a["paragraph_index"], a["run_index"], a["range_start_para_id"], a["range_end_para_id"]) == (-1, -1, "", "")
     assert len(a.asDict()) == 20
 
@@ -88,7 +88,7 @@ def test_lookups(files):
     f0 = files.where("file_path = 'f0'")
     assert [r["text"] for r in ops.find_by_id(files.where("file_path = 'f6'"), 5).collect()] == ["b"]
     assert ops.find_by_id(f0, 77).count() == 0
-    assert [ops.by_author(f0, x).count() for x in ("Alice Tester", "Bob Reviewer", "Nobody")] == [2, 1, 0]
+    assert [ops.by_author(f0, x).count() for x in ("Nora Quill", "Ivo Brandt", "Nobody")] == [2, 1, 0]
     assert [r["id"] for r in ops.root_comments(f0).collect()] == [0]
     assert [(r["position"], r["id"]) for r in ops.thread(f0, 0).orderBy("position").collect()] == [(0, 0), (1, 1), (2, 2)]
     assert ops.thread(f0, 1).count() == 0 and ops.thread(f0, 99).count() == 0 and ops.thread(f0).count() == 3
@@ -102,13 +102,13 @@ def test_statistics(files):
     s = {r["file_path"]: r for r in ops.document_stats(files).collect()}
     f0 = s["f0"]
     assert (f0["total_comments"], f0["total_replies"], f0["total_root_comments"], f0["total_resolved"]) == (3, 2, 1, 1)
-    assert (f0["unique_authors"], f0["earliest_date"], f0["latest_date"]) == (["Alice Tester", "Bob Reviewer"], "2024-03-01T10:00:00Z", "2024-03-03T09:00:00Z")
+    assert (f0["unique_authors"], f0["earliest_date"], f0["latest_date"]) == (["Ivo Brandt", "Nora Quill"], "2023-11-05T08:15:00Z", "2023-11-09T07:05:00Z")
     assert (s["none"]["total_comments"], s["none"]["total_root_comments"], s["none"]["unique_authors"], s["none"]["earliest_date"]) == (0, 0, [], "")
     assert (s["dates"]["earliest_date"], s["dates"]["latest_date"], s["dates"]["unique_authors"]) == ("2024-01", "2024-02", ["", "Ann", "bob"])
     assert s["f4"]["total_replies"] == 2 and "bad" not in s
     assert {r["file_path"]: r["message"] for r in ops.errors(files).collect()} == {"bad": "mmap failed: bad", "missing": "Cannot open file: missing"}
     assert ops.corpus_stats(files).first()["total_comments"] == ops.comments(files).count()
-    assert {(r["author"], r["n_comments"]) for r in ops.author_stats(files.where("file_path = 'f0'")).collect()} == {("Alice Tester", 2), ("Bob Reviewer", 1)}
+    assert {(r["author"], r["n_comments"]) for r in ops.author_stats(files.where("file_path = 'f0'")).collect()} == {("Nora Quill", 2), ("Ivo Brandt", 1)}
 
 
 def test_no_shuffle_within_files(files):

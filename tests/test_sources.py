@@ -22,11 +22,11 @@ def message(data):
 def test_f0():
     rows = one(f0())
     assert [(r["id"], r["author"], r["text"], r["paragraph_style"], r["para_id"]) for r in rows] == [
-        (0, "Alice Tester", "This sentence needs revision.", "CommentText", "AAAA0001"),
-        (1, "Bob Reviewer", "Agreed, let me fix this.", "", "AAAA0002"),
-        (2, "Alice Tester", "Thanks for the quick fix!", "", "AAAA0003"),
+        (0, "Nora Quill", "The second figure lacks a unit.", "Remark", "7C31E5B1"),
+        (1, "Ivo Brandt", "It is in kilograms, I add it.", "", "7C31E5B2"),
+        (2, "Nora Quill", "Now the table agrees with it.", "", "7C31E5B3"),
     ]
-    assert one(f0(), "anchors") == [{"id": 0, "anchor_text": "The quick brown fox jumps over the lazy dog."}]
+    assert one(f0(), "anchors") == [{"id": 0, "anchor_text": "Loads above forty are carried by two frames."}]
     assert [r["done"] for r in one(f0(), "comments_ex")] == [False, False, True]
 
 
