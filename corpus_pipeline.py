@@ -18,7 +18,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the table ``documents``."""
+    """The stages applied to the table ``documents``: doc_id, n_tokens, ids and
+    decoded of what they keep.  Each stage's result is written as Parquet in the
+    shared folder and read again.
+
+    Null, empty and blank texts go in the first stage, as they break its rule for
+    texts without words; null ids and null hosts stay and are rows like others; of
+    repeated rows and near-duplicates one stays; texts of any length are read to
+    their end; further columns, whatever their names, are carried to the last
+    stage; an empty table gives an empty one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import columns
+
 _LCG = np.uint64(2862933555777941757)
 
 
@@ -54,16 +56,22 @@ def assign(df: DataFrame, key: str = "doc_id", shards: int = 64, name: str = "sh
 def moves(df: DataFrame, key: str = "doc_id", before: int = 64, after: int = 80) -> DataFrame:
     """Key, shard before and after the number of shards grows, and whether the
     row moves: one row per row of ``df``, of which the fraction 1 - before/after
-    moves, always to an appended shard."""
+    moves, always to an appended shard.  Repeated rows move together, a null key
+    counts as the empty string, a table without rows gives none; other columns
+    aren't used."""
     k = F.col(f"`{key}`")
     return df.select(k.alias(key), shard_of(k, before).alias("shard_before"), shard_of(k, after).alias("shard_after")).withColumn("moved", F.col("shard_before") != F.col("shard_after"))
 
 
 def write_sharded(df: DataFrame, path: str, key: str = "doc_id", shards: int = 64) -> None:
-    """Writes one directory per shard: one shuffle on the shard, split by rows
-    within a shard so that no task holds a whole one."""
+    """Writes all rows and columns of ``df``, one directory per shard: one shuffle on
+    the shard, split within a shard by a hash of the whole row, so that no task
+    holds a whole shard, whatever a key's share of the rows.  Null keys count as
+    the empty string, repeated rows are all written, a column called ``shard`` is
+    replaced, and a table without rows writes no shard."""
     out = assign(df, key, shards)
-    out.repartition("shard", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(8))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    within = F.pmod(F.xxhash64(*columns(df)), F.lit(8))
+    out.repartition("shard", within).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 QUERY = "op7_jump_sharding"
