@@ -72,6 +72,19 @@ def test_round_trip(spark):
     assert W.roundtrip(df.limit(0)).collect() == []
 
 
+def test_load_finds_the_files_below_a_folder(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", words(i, 30)) for i in range(25)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    W.write(df, f"file://{tmp_path}/a/b")
+    (tmp_path / "other.txt").write_bytes(W.member("resource", "<urn:row:9>", b"x"))
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    (tmp_path / "cut.warc.gz").write_bytes(W.member("resource", "<urn:row:77>", b"whole") + W.member("resource", "<urn:row:78>", b"broken")[:-9])
+    want = sorted([(f"<urn:row:{i}>", t.encode()) for i, _, t in rows[:25]] + [("<urn:row:>", b""), ("<urn:row:77>", b"whole")])
+    for split in (200, 10**7):
+        got = W.load(spark, str(tmp_path), split).where("record_type = 'resource'").collect()
+        assert sorted((r["record_id"], bytes(r["payload"])) for r in got) == want
+
+
 def damaged_and_nested():
     """Archives with a broken member or padding every few records, and with
     archives of many members stored in a payload, nested twice."""
