@@ -204,6 +204,12 @@ def comments_json(spark, sf_dir):
     return j.select("file_path", *[F.get_json_object("json", f"$.{k}").alias(k) for k in fields])
 
 
+def comments_every_field(spark, sf_dir):
+    """All 18 fields of a comment as its JSON object has them, lists included."""
+    j = ops.as_json(_files(spark, sf_dir, *archives.ALL_FIELDS, parts=document.PARTS))
+    return j.select("file_path", "ordinal", *[F.get_json_object("json", f"$.{k}").alias(k) for k in ops.COLUMNS])
+
+
 _T = "(SELECT *, 'conv_' || conv_id AS file_path, CAST(turn AS INTEGER) AS id, coalesce(role, '') AS author, '2024-01-' || lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0') || 'T10:00:00Z' AS date, coalesce(text, '') AS body, lpad(upper(format('{:x}', turn + 1)), 8, '0') AS para FROM conversations) t"
 _PARENT = "CAST((turn - 1) // 2 AS INTEGER)"
 
@@ -264,5 +270,12 @@ SQL = {
 }
 
 SQL["comments_relational"] = SQL["comments_full"]
+SQL["comments_every_field"] = f"""{_WALK}, a AS ({_ANCHOR}),
+  threads AS (SELECT file_path, '[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY depth, path) || ']' AS thread_ids FROM walk GROUP BY file_path),
+  refs AS (SELECT file_path, {_PARENT} AS id, '[' || string_agg(CAST(to_json({{'id': id, 'author': author, 'date': date, 'text_snippet': {_cut('body', 120)}}}) AS VARCHAR), ',' ORDER BY turn) || ']' AS replies FROM t WHERE turn > 0 GROUP BY ALL)
+  SELECT t.file_path, t.id AS ordinal, CAST(t.id AS VARCHAR) AS id, author, date, upper(left(author, 2)) AS initials, body AS text, CASE WHEN turn % 2 = 0 THEN 'CommentText' ELSE '' END AS paragraph_style, '' AS range_start_para_id, '' AS range_end_para_id,
+    coalesce(referenced_text, '') AS referenced_text, CAST(turn > 0 AS VARCHAR) AS is_reply, CASE WHEN turn > 0 THEN CAST({_PARENT} AS VARCHAR) ELSE '-1' END AS parent_id, coalesce(replies, '[]') AS replies, para AS para_id,
+    CASE WHEN turn > 0 THEN lpad(upper(format('{{:x}}', (turn - 1) // 2 + 1)), 8, '0') ELSE '' END AS para_id_parent, CAST(turn % 3 = 2 AS VARCHAR) AS done, '-1' AS paragraph_index, '-1' AS run_index, CASE WHEN turn = 0 THEN thread_ids ELSE '[]' END AS thread_ids
+  FROM t LEFT JOIN a ON a.file_path = t.file_path AND a.id = t.id LEFT JOIN refs ON refs.file_path = t.file_path AND refs.id = t.id LEFT JOIN threads ON threads.file_path = t.file_path"""
 
 QUERIES = {name: globals()[name] for name in SQL}
