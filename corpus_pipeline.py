@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import decontaminate, pii, rules, simhash, spm
-from marginalia.llm.shared import cut
+from marginalia.llm.shared import kept, mark
 
 #: Each takes (spark, docs, sf_dir); the next reads its result back from Parquet.
 STAGES = [
@@ -27,9 +27,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeated rows and near-duplicates one stays; texts of any length are read to
     their end; further columns, whatever their names, are carried to the last
     stage; an empty table gives an empty one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = kept(stage(spark, docs, sf_dir), since)  # what the stage read and wrote on its way goes
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

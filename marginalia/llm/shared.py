@@ -23,7 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
     own = f"{base.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(own)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return f"{own}/{uuid.uuid4().hex}"
+    _made.append(f"{own}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Paths that shared_dir() gave out and that weren't removed.
+_made: list[str] = []
+
+
+def mark() -> int:
+    """How many paths were given out and not removed."""
+    return len(_made)
+
+
+def kept(df: DataFrame, since: int) -> DataFrame:
+    """``df`` written by cut().  What was written since mark() was ``since`` is
+    removed, as nothing needs it once this is there; what was before stays."""
+    spark, out = df.sparkSession, cut(df)
+    for path in _made[since:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[since:-1]
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:

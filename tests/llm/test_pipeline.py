@@ -41,6 +41,17 @@ def test_against_brute_force(spark):
     assert not any("@mail" in r["decoded"] for r in got.values()) and any(masked[i] != t for i, t in rows)
 
 
+def test_intermediate_tables_go(spark):
+    from marginalia.llm import shared
+
+    before = shared.cut(spark.range(3))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + f"/marginalia-{spark.sparkContext.applicationId}"
+    there = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF)
+    assert len(set(os.listdir(folder)) - there) == 1  # the last stage's input
+    assert out.count() > 50 and before.count() == 3
+
+
 def test_stages_bear_odd_rows(spark):
     df = frame(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
