@@ -210,7 +210,10 @@ def comments_every_field(spark, sf_dir):
     return j.select("file_path", "ordinal", *[F.get_json_object("json", f"$.{k}").alias(k) for k in ops.COLUMNS])
 
 
-_T = "(SELECT *, 'conv_' || conv_id AS file_path, CAST(turn AS INTEGER) AS id, coalesce(role, '') AS author, '2024-01-' || lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0') || 'T10:00:00Z' AS date, coalesce(text, '') AS body, lpad(upper(format('{:x}', turn + 1)), 8, '0') AS para FROM conversations) t"
+# without an id there is no archive, and without a turn no comment
+_CONVERSATIONS = "(SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"
+_PAGES = "(SELECT * FROM pages WHERE page_id IS NOT NULL)"
+_T = "(SELECT *, 'conv_' || conv_id AS file_path, CAST(turn AS INTEGER) AS id, coalesce(role, '') AS author, '2024-01-' || lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0') || 'T10:00:00Z' AS date, coalesce(text, '') AS body, lpad(upper(format('{:x}', turn + 1)), 8, '0') AS para FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) t"
 _PARENT = "CAST((turn - 1) // 2 AS INTEGER)"
 
 
@@ -222,7 +225,7 @@ _STATS = "count(*) AS total_comments, count(*) FILTER (WHERE turn % 3 = 2) AS to
 _WALK = f"""WITH RECURSIVE t AS (SELECT * FROM {_T}),
   walk AS (SELECT file_path, id, 0 AS depth, [id] AS path, author FROM t WHERE turn = 0
     UNION ALL SELECT t.file_path, t.id, depth + 1, list_append(path, t.id), t.author FROM walk JOIN t ON t.file_path = walk.file_path AND t.turn > 0 AND (t.turn - 1) // 2 = walk.id)"""
-_ANCHOR = f"SELECT 'conv_' || doc_id AS file_path, 0 AS id, {_cut('body', 240)} AS referenced_text FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) WHERE doc_id IN (SELECT conv_id FROM conversations)"
+_ANCHOR = f"SELECT 'conv_' || doc_id AS file_path, 0 AS id, {_cut('body', 240)} AS referenced_text FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) WHERE doc_id IN (SELECT conv_id FROM {_CONVERSATIONS})"
 
 SQL = {
     "comments_all": f"SELECT file_path, id, author, date, upper(left(author, 2)) AS initials, body AS text, CASE WHEN turn % 2 = 0 THEN 'CommentText' ELSE '' END AS paragraph_style, para AS para_id FROM {_T}",
@@ -246,25 +249,25 @@ SQL = {
     "ids_fallback": f"SELECT file_path, id, para AS para_id, turn > 0 AND turn % 2 = 0 AS is_reply, CASE WHEN turn > 0 AND turn % 2 = 0 THEN {_PARENT} ELSE -1 END AS parent_id, turn % 2 = 0 AND turn % 3 = 2 AS done FROM {_T}",
     "duplicate_ids_last_wins": f"SELECT file_path, CAST(turn // 2 AS INTEGER) AS id, author, body AS text FROM {_T} QUALIFY row_number() OVER (PARTITION BY file_path, turn // 2 ORDER BY turn DESC) = 1",
     "overlapping_ranges": f"SELECT file_path, id, body || coalesce(lead(body) OVER (PARTITION BY file_path ORDER BY turn), '') AS anchor_text FROM {_T}",
-    "entity_roundtrip": "SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages",
-    "zip_entries": "SELECT 'conv_' || conv_id AS file_path, ordinal, name, CAST(8 AS INTEGER) AS method FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES (0, '[Content_Types].xml'), (1, 'word/comments.xml'), (2, 'word/commentsExtended.xml'), (3, 'word/document.xml')) v(ordinal, name)",
-    "zip_prefix_scan": "SELECT 'conv_' || conv_id AS file_path, CAST(3 AS BIGINT) AS n_parts FROM (SELECT DISTINCT conv_id FROM conversations)",
-    "zip_has_entry": "SELECT 'conv_' || conv_id AS file_path, bool_or(turn % 2 = 1) AS found FROM conversations GROUP BY conv_id",
-    "zip_read_entry": """SELECT 'page_' || page_id AS file_path, CAST(3 AS INTEGER) AS ordinal, 'page/url' AS name, CAST(page_id % 2 * 8 AS INTEGER) AS method, coalesce(url, '') AS text, CAST(NULL AS VARCHAR) AS message FROM pages
-      UNION ALL SELECT 'page_' || page_id, NULL, 'page/none', NULL, NULL, 'Entry not found: page/none' FROM pages""",
+    "entity_roundtrip": f"SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM {_PAGES}",
+    "zip_entries": f"SELECT 'conv_' || conv_id AS file_path, ordinal, name, CAST(8 AS INTEGER) AS method FROM (SELECT DISTINCT conv_id FROM {_CONVERSATIONS}), (VALUES (0, '[Content_Types].xml'), (1, 'word/comments.xml'), (2, 'word/commentsExtended.xml'), (3, 'word/document.xml')) v(ordinal, name)",
+    "zip_prefix_scan": f"SELECT 'conv_' || conv_id AS file_path, CAST(3 AS BIGINT) AS n_parts FROM (SELECT DISTINCT conv_id FROM {_CONVERSATIONS})",
+    "zip_has_entry": f"SELECT 'conv_' || conv_id AS file_path, bool_or(turn % 2 = 1) AS found FROM {_CONVERSATIONS} GROUP BY conv_id",
+    "zip_read_entry": f"""SELECT 'page_' || page_id AS file_path, CAST(3 AS INTEGER) AS ordinal, 'page/url' AS name, CAST(page_id % 2 * 8 AS INTEGER) AS method, coalesce(url, '') AS text, CAST(NULL AS VARCHAR) AS message FROM {_PAGES}
+      UNION ALL SELECT 'page_' || page_id, NULL, 'page/none', NULL, NULL, 'Entry not found: page/none' FROM {_PAGES}""",
     "zip_read_into": f"""SELECT 'page_' || page_id AS file_path, CASE WHEN n <= {SIZE_LIMIT} THEN body END AS html, CASE WHEN n > {SIZE_LIMIT} THEN 'container' END AS error_kind,
       CASE WHEN n <= {SIZE_LIMIT} THEN NULL WHEN page_id % 2 = 0 THEN 'Buffer too small for stored entry: page/html' ELSE 'inflate failed (-5) for: page/html' END AS message
-      FROM (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages)""",
-    "zip_read_prefix": """SELECT 'page_' || page_id AS file_path, CAST(o AS INTEGER) AS ordinal, CASE o WHEN 2 THEN 'page/html' ELSE 'page/url' END AS name,
-      CAST(strlen(CASE o WHEN 2 THEN coalesce(html, '') ELSE coalesce(url, '') END) AS BIGINT) AS size, CASE o WHEN 2 THEN coalesce(html, '') ELSE coalesce(url, '') END AS text FROM pages, (VALUES (0), (2), (3)) v(o)""",
-    "open_files": """WITH f AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+      FROM (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM {_PAGES})""",
+    "zip_read_prefix": f"""SELECT 'page_' || page_id AS file_path, CAST(o AS INTEGER) AS ordinal, CASE o WHEN 2 THEN 'page/html' ELSE 'page/url' END AS name,
+      CAST(strlen(CASE o WHEN 2 THEN coalesce(html, '') ELSE coalesce(url, '') END) AS BIGINT) AS size, CASE o WHEN 2 THEN coalesce(html, '') ELSE coalesce(url, '') END AS text FROM {_PAGES}, (VALUES (0), (2), (3)) v(o)""",
+    "open_files": f"""WITH f AS (SELECT conv_id, count(*) AS n FROM {_CONVERSATIONS} GROUP BY conv_id)
       SELECT 'conv_' || conv_id AS file_name, CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS VARCHAR) AS message, n AS n_comments FROM f
       UNION ALL SELECT 'conv_' || conv_id || '_gone', 'file', 'Cannot open file: conv_' || conv_id || '_gone', NULL FROM f""",
-    "batch_parser": f"SELECT file_path AS file_name, id, author, body AS text FROM {_T} UNION ALL SELECT DISTINCT 'conv_' || conv_id || '_gone', NULL::INTEGER, NULL::VARCHAR, 'file' FROM conversations",
+    "batch_parser": f"SELECT file_path AS file_name, id, author, body AS text FROM {_T} UNION ALL SELECT DISTINCT 'conv_' || conv_id || '_gone', NULL::INTEGER, NULL::VARCHAR, 'file' FROM {_CONVERSATIONS}",
     "unreadable_ids": f"SELECT file_path, CAST(turn // 2 AS INTEGER) AS ordinal, id, author, body AS text FROM {_T} WHERE turn % 2 = 0",
-    "batch_errors": """SELECT file_path, CASE WHEN k <= 3 THEN 'file' WHEN k = 4 THEN 'format' ELSE 'container' END AS error_kind,
+    "batch_errors": f"""SELECT file_path, CASE WHEN k <= 3 THEN 'file' WHEN k = 4 THEN 'format' ELSE 'container' END AS error_kind,
       CASE k WHEN 1 THEN 'mmap failed: ' || file_path WHEN 2 THEN 'File too small to be a ZIP archive' WHEN 3 THEN 'EOCD signature not found — not a valid ZIP' WHEN 4 THEN 'Failed to parse word/comments.xml' ELSE 'Unsupported compression method 12 in: word/comments.xml' END AS message
-      FROM (SELECT DISTINCT 'conv_' || conv_id AS file_path, conv_id % 6 AS k FROM conversations) WHERE k > 0""",
+      FROM (SELECT DISTINCT 'conv_' || conv_id AS file_path, conv_id % 6 AS k FROM {_CONVERSATIONS}) WHERE k > 0""",
     "batch_results": f"SELECT file_path, count(*) AS total_comments, count(*) FILTER (WHERE turn > 0) AS total_replies, count(*) FILTER (WHERE turn % 3 = 2) AS total_resolved FROM {_T} WHERE conv_id % 6 = 0 GROUP BY file_path",
     "comments_json": f"SELECT file_path, CAST(id AS VARCHAR) AS id, author, date, body AS text, CAST(turn > 0 AS VARCHAR) AS is_reply, CASE WHEN turn > 0 THEN CAST((turn - 1) // 2 AS VARCHAR) ELSE '-1' END AS parent_id, CAST(turn % 3 = 2 AS VARCHAR) AS done FROM {_T}",
 }
