@@ -6,8 +6,14 @@ hashes: one row per block, order and bucket of the hash space.  Grouped by
 bucket these rows are the count tables, partitioned by hash; there they are
 summed, pruned and joined back to the n-grams that asked, and the counts return
 to the block, where they are summed per document.  Every table has at most as
-many rows as there are n-grams, nothing is broadcast, and no group is larger
-than a block or a bucket.
+many rows as there are n-grams.
+
+Equal rows share a block, so those that occur more than REPEATS times are
+counted, collapsed into one with its number before they are dealt, and joined
+back at the end; texts without letters to count aren't dealt at all.  So no group
+is larger than a block or a bucket by more than chance, and nothing is broadcast
+but the repeated rows' keys, where their counted number allows it, and one row
+of totals.
 """
 
 from __future__ import annotations
@@ -18,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import hash_words, mix, slices
-from .shared import cut
+from .shared import bounded, cut, lookup
 
 ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
 BLOCK_BYTES = 20 << 20
+#: Equal rows beyond this number are collapsed; how rows are dealt, not what is found.
+REPEATS = 1000
 
 
 def grams(texts: pa.Array | pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -44,11 +52,35 @@ def grams(texts: pa.Array | pa.ChunkedArray, order: int) -> tuple[list[np.ndarra
     return out, offs
 
 
-def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, c = np.unique(g, return_counts=True)
+def _distinct(g: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes but 0, and how often each occurs, or the sum of its weights."""
+    if weight is None:
+        u, c = np.unique(g, return_counts=True)
+    else:
+        u, at = np.unique(g, return_inverse=True)
+        c = np.bincount(at, weight, len(u)).astype(np.int64)
     return (u[1:], c[1:]) if len(u) and u[0] == 0 else (u, c)
 
 
+def _runs_of(u: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted hashes fall in, each once, and where each begins:
+    even cuts of the 64-bit space, told by the upper 32 bits."""
+    bucket = (u >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(u) else np.zeros(0, np.int64)
+    return bucket[first].astype(np.int64), np.concatenate([first, [len(u)]])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted numbers as the steps between them, first bytes first: most planes
+    are then nearly constant, which the shuffle's compression makes use of."""
+    steps = np.diff(x, prepend=x[:1] * 0)
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0])
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, log_score (natural logarithm of the document's
     stupid-backoff score under the whole input) and mean_log_score.
@@ -59,27 +91,40 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     and at last count(word) / words in the corpus.  One row per row, repeated
     ones too.  A null text, or one without words, has no tokens, score 0 and a
     null mean.  Of the input only the two columns are used."""
-    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    total = src.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    n_buckets = n_blocks
-    blocked = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    src = bounded(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    some = src.where("text <> ''")
+    total = some.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_blocks = n_buckets = max(1, -(-total // block_bytes))
+    key = F.xxhash64("doc_id", "text")
+    repeated = cut(some.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REPEATS).select("key"))
+    many = bool(repeated.head(1))
+    dealt = some.withColumn("times", F.lit(1).cast("long"))
+    if many:
+        keys = lookup(repeated)
+        keyed = some.withColumn("key", key)
+        once = keyed.join(keys, "key", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
+        dealt = keyed.join(keys, "key", "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("times")).unionByName(once)
+    # both uses of this table are the same, so it is shuffled once
+    blocked = dealt.withColumn("text_hash", F.xxhash64("text") if many else F.lit(0).cast("long")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     def explode(table: pa.Table) -> pa.Table:
-        gs, _ = grams(table.column("text"), order)
-        block = table.column("block")[0].as_py()
+        gs, offs = grams(table.column("text"), order)
+        block, times = table.column("block")[0].as_py(), table.column("times").to_numpy()
+        weight = None if times.max() == 1 else np.repeat(times, np.diff(offs))
         rows = []
         for k, g in enumerate(gs, 1):
-            u, c = _distinct(g)
-            at = np.searchsorted(u, _edges(n_buckets))
-            rows += [(int(b), block, k, u[x:y].tobytes(), c[x:y].astype(np.uint32).tobytes()) for b, (x, y) in enumerate(zip(at[:-1], at[1:])) if y > x]
-        cols = zip(*rows) if rows else ([],) * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "ord", "hashes", "counts"])
+            u, c = _distinct(g, weight)
+            buckets, at = _runs_of(u, n_buckets)
+            c = c.astype(np.uint32 if not len(c) or c.max() < 1 << 32 else np.uint64)
+            rows += [(b, block, k, y - x, _pack(u[x:y]), c[x:y].tobytes()) for b, x, y in zip(buckets.tolist(), at[:-1].tolist(), at[1:].tolist())]
+        cols = zip(*rows) if rows else ([],) * 6
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "ord", "n", "hashes", "counts"])
 
     def join(table: pa.Table) -> pa.Table:
         ords = table.column("ord").to_numpy()
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+        ns = table.column("n").to_pylist()
+        hashes = [_unpack(x) for x in table.column("hashes").to_pylist()]
+        counts = [np.frombuffer(x, np.uint32 if len(x) == 4 * n else np.uint64) for x, n in zip(table.column("counts").to_pylist(), ns)]
         back: list[bytes] = [b""] * len(ords)
         for k in np.unique(ords):
             mine = np.flatnonzero(ords == k)
@@ -88,11 +133,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
             sums = np.bincount(inverse, np.concatenate([counts[i] for i in mine]), len(u))
             if k > 1:
                 sums[sums < min_count] = 0
-            answer = sums.astype(np.uint32 if sums.max() < 1 << 32 else np.uint64)[inverse]
+            answer = sums.astype(np.uint32 if sums.max() < 1 << 32 else np.uint64)[inverse]  # whole numbers below 2**53
             cuts = np.cumsum([len(hashes[i]) for i in mine])[:-1]
             for i, part in zip(mine, np.split(answer, cuts)):
                 back[i] = part.astype(np.uint64 if len(part) and part.max() >= 1 << 32 else np.uint32 if len(part) and part.max() >= 1 << 16 else np.uint16).tobytes()
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ord": table.column("ord"), "n": pa.array([len(x) for x in hashes], pa.int32()), "totals": pa.array(back, pa.binary())})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ord": table.column("ord"), "n": pa.array(ns, pa.int32()), "totals": pa.array(back, pa.binary())})
 
     def total_up(mine: pa.Table, found: pa.Table) -> pa.Table:
         gs, offs = grams(mine.column("text"), order)
@@ -113,19 +158,23 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
             log[~done & (gs[k - 1] != 0)] += np.log(alpha)
         log[~done] += np.log(context[0][~done])
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-        return pa.table({"doc_id": mine.column("doc_id"), "n_tokens": pa.array(np.diff(offs), pa.int64()), "partial": pa.array(np.bincount(doc, log, len(offs) - 1), pa.float64()), "n_unigram": pa.array(np.bincount(doc, ~done, len(offs) - 1).astype(np.int64), pa.int64())})
+        words = pa.array(np.diff(offs), pa.int64())
+        return pa.table({"doc_id": mine.column("doc_id"), "text_hash": mine.column("text_hash"), "times": mine.column("times"), "n_tokens": words, "partial": pa.array(np.bincount(doc, log, len(offs) - 1), pa.float64()), "n_unigram": pa.array(np.bincount(doc, ~done, len(offs) - 1).astype(np.int64), pa.int64())})
 
-    exploded = blocked.groupBy("block").applyInArrow(explode, "bucket int, block int, ord int, hashes binary, counts binary")
+    exploded = blocked.groupBy("block").applyInArrow(explode, "bucket int, block int, ord int, n int, hashes binary, counts binary")
     joined = exploded.groupBy("bucket").applyInArrow(join, "block int, bucket int, ord int, n int, totals binary")
     kind = src.schema["doc_id"].dataType.simpleString()
-    scored = cut(blocked.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(total_up, f"doc_id {kind}, n_tokens bigint, partial double, n_unigram bigint"))
-    words = F.broadcast(scored.agg(F.sum("n_tokens").cast("double").alias("words")))  # one row, whatever the input's size
-    return scored.crossJoin(words).select("doc_id", "n_tokens", (F.col("partial") - F.when(F.col("n_unigram") > 0, F.col("n_unigram") * F.log("words")).otherwise(0.0)).alias("log_score")).withColumn("mean_log_score", F.expr("CASE WHEN n_tokens > 0 THEN log_score / n_tokens END"))
-
-
-def _edges(n: int) -> np.ndarray:
-    """n + 1 bounds that cut the 64-bit space evenly; the last is its end."""
-    return np.array([(i << 64) // n if i < n else (1 << 64) - 1 for i in range(n + 1)], np.uint64)
+    scored = cut(blocked.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(total_up, f"doc_id {kind}, text_hash long, times long, n_tokens bigint, partial double, n_unigram bigint"))
+    words = F.broadcast(scored.agg(F.sum(F.col("n_tokens") * F.col("times")).cast("double").alias("words")))  # one row, whatever the input's size
+    out = scored.crossJoin(words).select("doc_id", "text_hash", "times", "n_tokens", (F.col("partial") - F.when(F.col("n_unigram") > 0, F.col("n_unigram") * F.log("words")).otherwise(0.0)).alias("log_score"))
+    names = ("doc_id", "n_tokens", "log_score")
+    rows = out.where("times = 1").select(*names) if many else out.select(*names)
+    if many:
+        theirs = out.where("times > 1").select(F.col("doc_id").alias("id"), "text_hash", "n_tokens", "log_score")
+        back = keyed.join(keys, "key", "left_semi").withColumn("own_hash", F.xxhash64("text"))
+        rows = rows.unionByName(back.join(lookup(cut(theirs)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))).select(*names))
+    none = src.where("text IS NULL OR text = ''").select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_score"))
+    return rows.unionByName(none).withColumn("mean_log_score", F.expr("CASE WHEN n_tokens > 0 THEN log_score / n_tokens END"))
 
 
 QUERY = "op4_stupid_backoff_scores"

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from marginalia.llm import lm
@@ -45,6 +46,30 @@ def test_odd_rows(spark):
     assert len(LONG.split()) == 60_000
 
 
+def test_repeated_rows_are_collapsed_and_come_back(spark, monkeypatch):
+    rows = [(i, words(i % 90, 30, 120)) for i in range(60)] + [(7, words(3, 40, 120))] * 50 + [(None, words(4, 20, 120))] * 30 + [(8, None), (None, None), (9, "")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = []
+    real = lm.grams
+    for repeats in (10**6, 5):
+        monkeypatch.setattr(lm, "REPEATS", repeats)
+        got = lm.score(df, order=3, block_bytes=1000).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_score"], 4)) for r in got) == brute(rows, 3)
+        dealt.append(len(got))
+    assert dealt == [len(rows)] * 2 and real is lm.grams
+
+
+def test_packing():
+    r = np.random.default_rng(0)
+    for n in (1, 2, 1000):
+        h = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        assert (lm._unpack(lm._pack(h)) == h).all()
+        for buckets in (1, 3, 64, 100_003):
+            b, at = lm._runs_of(h, buckets)
+            want = [(int(x) >> 32) * buckets >> 32 for x in h]
+            assert np.repeat(b, np.diff(at)).tolist() == want and len(set(b.tolist())) == len(b)
+
+
 def test_no_words_at_all(spark):
     got = lm.score(spark.createDataFrame([(1, ""), (2, None), (3, "!?")], "doc_id long, text string")).collect()
     assert {(r["n_tokens"], r["log_score"], r["mean_log_score"]) for r in got} == {(0, 0.0, None)}
