@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .shared import bounded, columns, cut, unused
+from .shared import bounded, columns, cut
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "number")
 CUTOFF = 0.5
@@ -228,20 +228,21 @@ def _fit_codes(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return fit(x, post, n), codes
 
 
-def _kind(code: int) -> int:
-    return code // (64 * 3 ** len(LABELERS))
-
-
 def probability(code: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = _decode(code)[2]
     return 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
 
 
+def _may(text: Column) -> Column:
+    """Whether a text can have spans: every form holds a digit or an at sign."""
+    return text.rlike("[@0-9]")
+
+
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, end (in characters, end excluded), kind, span and feature
     code of every candidate.  Null and empty texts have none, repeated rows have
     theirs repeated, texts are scanned to their end; only the two columns are used."""
-    src = bounded(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    src = bounded(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(_may(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -279,39 +280,28 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     personal data becomes its kind in brackets.  Null stays null, '' stays '',
     repeated rows are masked alike, and a table without rows gives none.
 
-    The candidate spans are written beside the rows, so that texts are scanned
-    once; the masks are put in where a row has any."""
-    (name,) = unused(docs, "__spans")
-    where = F.col(f"`{text}`")
-
-    @F.pandas_udf("array<struct<start:bigint,end:bigint,code:bigint>>")
-    def scan(texts):
-        import pandas as pd
-
-        return pd.Series([[{"start": s, "end": e, "code": c} for s, e, _, c in spans(t)] if t else [] for t in texts], dtype=object)
-
-    found = cut(bounded(docs).withColumn(name, scan(where)))
-    w, codes = _fit_codes(found.select(F.explode(F.col(name)["code"]).alias("code")))
-    held = [int(c) for c in codes[probability(codes, w) >= CUTOFF]] if len(codes) else []
-    if not held:
-        return found.drop(name)
+    Only texts with a digit or an at sign can have spans, and only they go to
+    Python: once to train the classifier and once to be masked.  To write the spans
+    in between would mean to write the texts."""
+    where, fresh = F.col(f"`{text}`"), F.lit(0).alias("__none")
+    w, codes = _fit_codes(cut(candidates(docs.select(fresh, where.alias("__text")), "__none", "__text").select("code")))
+    held = {int(c) for c in codes[probability(codes, w) >= CUTOFF]} if len(codes) else set()
 
     @F.pandas_udf("string")
-    def mask(texts, found):
+    def mask(texts):
         import pandas as pd
 
         out = []
-        for t, rows in zip(texts, found):
+        for t in texts:
             parts, at = [], 0
-            for r in rows:
-                parts += [t[at : r["start"]], f"[{KINDS[_kind(r['code'])].upper()}]"]
-                at = r["end"]
-            out.append("".join([*parts, t[at:]]))
+            for s, e, k, code in spans(t) if t else ():
+                if code in held:
+                    parts += [t[at:s], f"[{KINDS[k].upper()}]"]
+                    at = e
+            out.append("".join([*parts, t[at:]]) if at else t)
         return pd.Series(out, dtype=object)
 
-    found = found.withColumn(name, F.filter(name, lambda x: x["code"].isin(held)))
-    plain, masked = found.where(F.size(name) == 0), found.where(F.size(name) > 0)
-    return plain.drop(name).unionByName(masked.withColumn(text, mask(where, F.col(name))).select(*columns(docs)))
+    return bounded(docs).withColumn(text, F.coalesce(mask(F.when(_may(where), where)), where))
 
 
 QUERY = "op3_weakly_supervised_pii"
