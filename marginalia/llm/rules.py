@@ -122,7 +122,7 @@ def host_rates(flags: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(prior)).select("host", "host_docs", "host_fails", ((F.col("host_fails") + F.col("a")) / (F.col("host_docs") + F.col("a") + F.col("b"))).alias("host_rate"))
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE, with_text: bool = True) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE, with_text: bool = True, lost_text: bool = True) -> DataFrame:
     """``df`` with host_docs, host_fails, host_rate, hard_fails, soft_fails, keep.
 
     One row per row of ``df``: repeated rows and null ids are judged like others,
@@ -131,10 +131,13 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", host_rate: fl
     written to the shared folder, so the rules run once over each text and the
     host sums read two columns.  Few hosts are broadcast and no text is shuffled;
     more hosts than the session's threshold are joined by shuffle.  Without
-    ``with_text`` the text column is left out, of what is written too."""
+    ``with_text`` the text column is left out, of what is written too; without
+    ``lost_text`` the texts of hard failures are, and come back as nulls."""
     base = df.drop(*ADDED)
     (name,) = unused(base, "__host")
     flagged = flag(base, text)
+    if not lost_text:
+        flagged = flagged.withColumn(text, F.when(F.col("hard_fails") == 0, F.col(f"`{text}`")))
     flagged = cut(flagged if with_text else flagged.drop(text))
     rates = cut(host_rates(flagged.select(F.col(f"`{host}`").alias("host"), "soft_fails"))).withColumnRenamed("host", name)
     out = flagged.join(rates, F.col(f"`{host}`").eqNullSafe(F.col(name)), "left").drop(name)
@@ -155,7 +158,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts go; repeated rows stay repeated; a null host is a
     host; a table without rows gives none."""
     own = {c: unused(docs, "__own_" + c)[0] for c in docs.columns if c.lower() in ADDED}
-    kept = judge(docs.withColumnsRenamed(own)).where("keep")
+    kept = judge(docs.withColumnsRenamed(own), lost_text=False).where("keep")
     return kept.select(*[F.col("`" + own.get(c, c).replace("`", "``") + "`").alias(c) for c in docs.columns])
 
 
