@@ -78,23 +78,22 @@ class _Decoder:
     def batch(self, rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(rows, schema=self.arrow)
 
-    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _batches(self, found: Iterator[tuple[str, bytes | None]]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            for path, content in zip(b.column(0), b.column(1), strict=True):
-                data = content.as_py()
-                held.append(self.row(path.as_py(), data))
-                size += len(data or b"")
-                if size > FLUSH_BYTES or len(held) >= 1000:
-                    yield self.batch(held)
-                    held, size = [], 0
+        for path, data in found:
+            held.append(self.row(path, data))
+            size += len(data or b"")
+            if size > FLUSH_BYTES or len(held) >= 1000:
+                yield self.batch(held)
+                held, size = [], 0
         if held:
             yield self.batch(held)
 
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return self._batches((path.as_py(), content.as_py()) for b in batches for path, content in zip(b.column(0), b.column(1), strict=True))
+
     def paths(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                yield self.batch([self.row(path, _load(path))])
+        return self._batches((path, _load(path)) for b in batches for path in b.column(0).to_pylist())
 
 
 ALL_FIELDS = tuple(f[0] for f in FIELDS)
@@ -117,15 +116,19 @@ def read_paths(spark: SparkSession, paths: list[str] | DataFrame, parts: tuple[s
     equal paths are read once.  Paths are kept as given and may be missing.
 
     A list is dealt to ``partitions``, or to as many as give each task up to
-    PATHS_PER_TASK files.  Sizes aren't asked for beforehand: that would open every
+    PATHS_PER_TASK files; a DataFrame to ``partitions``, or to as many as a shuffle
+    has, of a number that is set: by their bytes a million paths would go to a
+    few tasks.  Sizes aren't asked for beforehand: that would open every
     file once more, on the driver; for folders, ``read_glob`` lists them with sizes."""
     if not isinstance(paths, DataFrame):
         distinct = list(dict.fromkeys(paths))
         paths = spark.createDataFrame([(p,) for p in distinct], "file_path string")
         partitions = partitions or max(spark.sparkContext.defaultParallelism, -(-len(distinct) // PATHS_PER_TASK))
-    todo = paths.select("file_path").dropDuplicates()
+    todo = paths.select("file_path")
     if partitions:
-        todo = todo.repartition(partitions)
+        todo = todo.dropDuplicates().repartition(partitions)
+    else:
+        todo = todo.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "file_path").dropDuplicates()
 
     d = _Decoder(parts, fields)
     return todo.mapInArrow(d.paths, d.spark)

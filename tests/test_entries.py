@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,17 @@ def test_written_files_are_read(spark, tmp_path):
     found = corpus.written(spark.createDataFrame([("p", f0(8)), ("q", b"junk")], "file_path string, content binary"), f"file://{tmp_path}/out")
     got = archives.read_paths(spark, found, fields=("id",))
     assert {r["file_path"].rpartition("/")[2]: r["error_kind"] for r in got.collect()} == {"p.docx": None, "q.docx": "file"}
+
+
+def test_paths_are_dealt_to_all_tasks(spark, tmp_path):
+    """Paths are few bytes, so by their size they'd all go to one task."""
+    (tmp_path / "a.docx").write_bytes(f0(8))
+    names = spark.createDataFrame([(f"{tmp_path}/a.docx",), *[(f"{tmp_path}/none_{k % 400}.docx",) for k in range(800)]], "file_path string")
+    got = archives.read_paths(spark, names, fields=("id",)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 401 and sum(r["error_kind"] is None for r in got) == 1
+    assert len({r["task"] for r in got}) == 4
+
+
+def test_opened_files_are_handed_on_together(tmp_path):
+    names = pa.record_batch([pa.array([f"{tmp_path}/none_{k}.docx" for k in range(1500)])], ["file_path"])
+    assert [b.num_rows for b in archives._Decoder((), ("id",)).paths(iter([names]))] == [1000, 500]
