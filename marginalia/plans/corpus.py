@@ -33,13 +33,11 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write(grouped: DataFrame, method: int = 8) -> DataFrame:
     """file_path and content from (conv_id, turns, body)."""
 
+    def one(conv: int, turns: list[dict], body: list[dict]) -> tuple[str, bytes]:
+        return f"conv_{conv}", archives.build(turns, [(x["what"], x["text"] if x["what"] == "text" else x["id"]) for x in body], method)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            paths, data = [], []
-            for conv, turns, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                paths.append(f"conv_{conv}")
-                data.append(archives.build(turns, [(x["what"], x["text"] if x["what"] == "text" else x["id"]) for x in body], method))
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(data, pa.binary())], ["file_path", "content"])
+        return archives.packed(batches, one)
 
     return grouped.select("conv_id", "turns", "body").mapInArrow(run, "file_path string, content binary")
 
@@ -134,14 +132,12 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored or deflated (odd ones), and in ZIP64 or not (those divisible by 3)."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id IS NOT NULL")
 
+    def one(page: int, url: str | None, html: str | None) -> tuple[str, bytes]:
+        url, html = (url or "").encode(), (html or "").encode()
+        return f"page_{page}", container.pack([("page/url", b"old"), ("other/none", b""), ("page/html", html), ("page/url", url)], 8 * (page % 2), wide=page % 3 == 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            paths, data = [], []
-            for page, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                url, html = (url or "").encode(), (html or "").encode()
-                paths.append(f"page_{page}")
-                data.append(container.pack([("page/url", b"old"), ("other/none", b""), ("page/html", html), ("page/url", url)], 8 * (page % 2), wide=page % 3 == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(data, pa.binary())], ["file_path", "content"])
+        return archives.packed(batches, one)
 
     return p.select("page_id", "url", "html").mapInArrow(run, "file_path string, content binary")
 

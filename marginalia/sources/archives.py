@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +48,9 @@ FIELDS = (
     ("thread_ids", pa.list_(pa.int32()), "array<int>"),
     ("thread_ordinals", pa.list_(pa.int32()), "array<int>"),
 )
-#: Rows are handed on after so many bytes of input, so a task holds little at once.
-FLUSH_BYTES = 16 << 20
+#: Rows are handed on after so many bytes, inflated parts included, or so many
+#: rows: what a task holds depends neither on its size nor on that of Spark's batches.
+FLUSH_BYTES, FLUSH_ROWS = 4 << 20, 1000
 #: Files of a list that one task opens.
 PATHS_PER_TASK = 500
 
@@ -69,11 +70,15 @@ class _Decoder:
             self.arrow = pa.schema([*[ARROW.field(k) for k in ("file_path", "error_kind", "message")], ("comments", pa.list_(pa.struct([(n, t) for n, t, _ in own])))])
             self.spark = "file_path string, error_kind string, message string, comments array<struct<" + ",".join(f"{n}:{t}" for n, _, t in own) + ">>"
 
-    def row(self, path: str, data: bytes | None) -> dict:
+    def row(self, path: str, data: bytes | None) -> tuple[dict, int]:
+        """A file's row, and the bytes that were read and inflated for it."""
         out = document.rows(path, data, self.parts)
+        size = len(data or b"") + sum(e["size"] for e in out["entries"] if e["name"] in self.parts)
         if self.fields is not None:
             out["comments"] = [{k: c[k] for k in self.fields} for c in document.resolve(out)]
-        return out
+            for k in ("comments_ex", "comment_ids", "anchors", "entries"):
+                del out[k]
+        return out, size
 
     def batch(self, rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(rows, schema=self.arrow)
@@ -81,9 +86,10 @@ class _Decoder:
     def _batches(self, found: Iterator[tuple[str, bytes | None]]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for path, data in found:
-            held.append(self.row(path, data))
-            size += len(data or b"")
-            if size > FLUSH_BYTES or len(held) >= 1000:
+            row, n = self.row(path, data)
+            held.append(row)
+            size += n
+            if size > FLUSH_BYTES or len(held) >= FLUSH_ROWS:
                 yield self.batch(held)
                 held, size = [], 0
         if held:
@@ -157,6 +163,25 @@ def _load(path: str | None) -> bytes | None:
         return None
 
 
+def packed(batches: Iterator[pa.RecordBatch], one: Callable[..., tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """What ``one`` makes of each row, as batches of file_path and content.  Rows
+    become Python's one at a time; a batch of thousands never does at once."""
+    held, size = [], 0
+    for b in batches:
+        for row in zip(*b.columns, strict=True):
+            held.append(one(*(x.as_py() for x in row)))
+            size += len(held[-1][1])
+            if size > FLUSH_BYTES or len(held) >= FLUSH_ROWS:
+                yield _contents(held)
+                held, size = [], 0
+    if held:
+        yield _contents(held)
+
+
+def _contents(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([x for _, x in held], pa.binary())], ["file_path", "content"])
+
+
 def read_glob(spark: SparkSession, path: str, parts: tuple[str, ...] = document.PARTS, pattern: str = "*.docx", fields: tuple[str, ...] | None = None) -> DataFrame:
     """Decodes all files below ``path`` that match; Spark lists and splits them by size."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import comments as ops
 from marginalia.operators import entries
 from marginalia.plans import corpus
-from marginalia.sources import archives, container
+from marginalia.sources import archives, container, document
 from tests.make import archive, f0
 
 FILES = [("a/one", b"first"), ("a/two", b"x" * 5000), ("b", b""), ("a/one", b"last")]
@@ -86,3 +86,21 @@ def test_paths_are_dealt_to_all_tasks(spark, tmp_path):
 def test_opened_files_are_handed_on_together(tmp_path):
     names = pa.record_batch([pa.array([f"{tmp_path}/none_{k}.docx" for k in range(1500)])], ["file_path"])
     assert [b.num_rows for b in archives._Decoder((), ("id",)).paths(iter([names]))] == [1000, 500]
+
+
+def test_decoded_rows_are_handed_on_by_their_inflated_size():
+    text = archive([(0, "", "x" * 1_500_000)])
+    small = container.pack([(n.name, container.content(text, n)) for n in container.directory(text)], 8)
+    batch = pa.record_batch([pa.array([f"f{k}" for k in range(8)]), pa.array([small] * 8, pa.binary())], ["file_path", "content"])
+    got = list(archives._Decoder((document.COMMENTS,), ("text",)).files(iter([batch])))
+    assert len(small) < 10_000 and [b.num_rows for b in got] == [3, 3, 2]
+
+
+def test_archives_are_written_before_the_batch_is_read_through():
+    """A batch has as many rows as Spark likes; few of them are held as objects."""
+    done = []
+    batch = pa.record_batch([pa.array(range(5000))], ["k"])
+    out = archives.packed(iter([batch]), lambda k: done.append(k) or (f"f{k}", b"x" * 10_000))
+    first = next(out)
+    assert first.num_rows == len(done) == archives.FLUSH_BYTES // 10_000 + 1
+    assert sum(b.num_rows for b in out) + first.num_rows == 5000 and done == list(range(5000))
