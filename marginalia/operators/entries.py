@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.sources import container
+from marginalia.sources import archives, container
 
 _ROW = pa.schema([("file_path", pa.string()), ("ordinal", pa.int32()), ("name", pa.string()), ("method", pa.int32()), ("size", pa.int64()), ("data", pa.binary()), ("error_kind", pa.string()), ("message", pa.string())])
 _SCHEMA = "file_path string, ordinal int, name string, method int, size bigint, data binary, error_kind string, message string"
@@ -56,7 +56,7 @@ def _scan(files: DataFrame, wanted: Wanted, room: int | None = None) -> DataFram
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=_ROW)
 
-    return files.select("file_path", "content").mapInArrow(run, _SCHEMA)
+    return archives.bounded(files).select("file_path", "content").mapInArrow(run, _SCHEMA)
 
 
 def _last(entries: list[container.Entry], name: str) -> list[tuple[int | None, str, container.Entry | None]]:

@@ -7,15 +7,17 @@ here, ``marginalia.operators.comments`` needs none of these shuffles."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import truncate_utf8
-from marginalia.sources import document
+from marginalia.sources import archives, document
 from marginalia.sources.document import ANCHOR_BYTES, SNIPPET_BYTES
 
+_THREADS = pa.schema([("file_path", pa.string()), ("ordinal", pa.int32()), ("thread_ids", pa.list_(pa.int32()))])
 REPLY = "array<struct<id:int,author:string,date:string,text_snippet:string>>"
 
 
@@ -67,22 +69,48 @@ def replies(c: DataFrame) -> DataFrame:
     return grouped.select("file_path", "id", F.transform("refs", lambda r: F.struct(r.id.alias("id"), r.author.alias("author"), r.date.alias("date"), r.text_snippet.alias("text_snippet"))).alias("replies"))
 
 
-def _thread_table(table: pa.Table) -> pa.Table:
-    path = table.column("file_path")[0].as_py()
-    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("ordinal", "id", "parent_id", "is_reply")), strict=True))
+#: Rows and ids of threads after which they are handed on.
+FLUSH_ROWS, FLUSH_IDS = 10_000, 1_000_000
+
+
+def _threads(rows: list[dict]) -> list[tuple[int, list[int]]]:
+    """ordinal and thread_ids of the roots among a file's comments."""
+    rows = sorted((r["ordinal"], r["id"], r["parent_id"], r["is_reply"]) for r in rows)
     below: dict[int, list[int]] = {}
     for _, ident, parent, reply in rows:
         if reply and parent >= 0:
             below.setdefault(parent, []).append(ident)
     unique = len({r[1] for r in rows}) == len(rows)
-    found = [(ordinal, document.closure(ident, below, unique)) for ordinal, ident, _, reply in rows if not reply]
-    return pa.table({"file_path": pa.array([path] * len(found), pa.string()), "ordinal": pa.array([o for o, _ in found], pa.int32()), "thread_ids": pa.array([t for _, t in found], pa.list_(pa.int32()))})
+    return [(ordinal, document.closure(ident, below, unique)) for ordinal, ident, _, reply in rows if not reply]
+
+
+def _thread_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Threads of files that come as rows of file_path and its comments; a file's
+    comments become Python's one file at a time."""
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(held, _THREADS, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in columns], schema=_THREADS)
+
+    held, ids = ([], [], []), 0
+    for b in batches:
+        for path, rows in zip(*b.columns, strict=True):
+            for ordinal, thread in _threads(rows.as_py()):
+                for x, v in zip(held, (path.as_py(), ordinal, thread), strict=True):
+                    x.append(v)
+                ids += len(thread)
+                if ids >= FLUSH_IDS or len(held[0]) >= FLUSH_ROWS:
+                    yield batch()
+                    held, ids = ([], [], []), 0
+    if held[0]:
+        yield batch()
 
 
 def thread_ids(c: DataFrame) -> DataFrame:
     """file_path, ordinal, thread_ids for every root: the whole closure of its
     replies, level by level, whatever its depth."""
-    return c.select("file_path", "ordinal", "id", "parent_id", "is_reply").groupBy("file_path").applyInArrow(_thread_table, "file_path string, ordinal int, thread_ids array<int>")
+    files = c.groupBy("file_path").agg(F.collect_list(F.struct("ordinal", "id", "parent_id", "is_reply")).alias("rows"))
+    return archives.bounded(files).mapInArrow(_thread_batches, "file_path string, ordinal int, thread_ids array<int>")
 
 
 def anchors(parts: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def _write(grouped: DataFrame, method: int = 8) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return archives.packed(batches, one)
 
-    return grouped.select("conv_id", "turns", "body").mapInArrow(run, "file_path string, content binary")
+    return archives.bounded(grouped).select("conv_id", "turns", "body").mapInArrow(run, "file_path string, content binary")
 
 
 def _events(*rows: tuple) -> F.Column:
@@ -139,7 +139,7 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return archives.packed(batches, one)
 
-    return p.select("page_id", "url", "html").mapInArrow(run, "file_path string, content binary")
+    return archives.bounded(p).select("page_id", "url", "html").mapInArrow(run, "file_path string, content binary")
 
 
 def written(files: DataFrame, folder: str) -> DataFrame:
@@ -159,4 +159,4 @@ def written(files: DataFrame, folder: str) -> DataFrame:
                 paths.append(f"{folder}/{name}.docx")
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["file_path"])
 
-    return files.select("file_path", "content").mapInArrow(run, "file_path string")
+    return archives.bounded(files).select("file_path", "content").mapInArrow(run, "file_path string")

@@ -51,6 +51,9 @@ FIELDS = (
 #: Rows are handed on after so many bytes, inflated parts included, or so many
 #: rows: what a task holds depends neither on its size nor on that of Spark's batches.
 FLUSH_BYTES, FLUSH_ROWS = 4 << 20, 1000
+#: Bytes of an Arrow batch that goes to Python, in a session that doesn't say how many.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Files of a list that one task opens.
 PATHS_PER_TASK = 500
 
@@ -114,7 +117,7 @@ def parse(files: DataFrame, parts: tuple[str, ...] = document.PARTS, fields: tup
     ``comments`` of just those fields: no plan above a Python function can tell it
     what isn't needed."""
     d = _Decoder(parts, fields)
-    return files.select("file_path", "content").mapInArrow(d.files, d.spark)
+    return bounded(files).select("file_path", "content").mapInArrow(d.files, d.spark)
 
 
 def read_paths(spark: SparkSession, paths: list[str] | DataFrame, parts: tuple[str, ...] = document.PARTS, partitions: int | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
@@ -163,6 +166,17 @@ def _load(path: str | None) -> bytes | None:
         return None
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; its session sends rows to Python in batches of BATCH_BYTES, or one
+    larger row.  Spark's own 64 MB are held whole by each of an executor's workers,
+    of which a chain of two steps has two a core.  A session that was given a
+    value keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def packed(batches: Iterator[pa.RecordBatch], one: Callable[..., tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
     """What ``one`` makes of each row, as batches of file_path and content.  Rows
     become Python's one at a time; a batch of thousands never does at once."""

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,20 @@ def test_only_the_parts_asked_for(spark):
     files = spark.createDataFrame([("f0", f0())], "file_path string, content binary")
     row = archives.parse(files, (document.COMMENTS,)).first()
     assert len(row["comments"]) == 3 and row["anchors"] == [] and row["comments_ex"] == [] and len(row["entries"]) == 4
+
+
+def test_threads_of_many_files_share_a_batch(spark, monkeypatch):
+    """Files go to Python together, not in a stream each, and are handed on before all are read."""
+    rows = [{"ordinal": k, "id": k, "parent_id": k - 1, "is_reply": k > 0} for k in range(3)]
+    type_ = pa.list_(pa.struct([("ordinal", pa.int32()), ("id", pa.int32()), ("parent_id", pa.int32()), ("is_reply", pa.bool_())]))
+    batch = pa.record_batch([pa.array([f"f{k}" for k in range(25)]), pa.array([rows[::-1]] * 25, type_)], ["file_path", "rows"])
+    monkeypatch.setattr(relational, "FLUSH_ROWS", 10)
+    got = list(relational._thread_batches(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in got] == [10, 10, 5] and got[2].to_pylist()[4] == {"file_path": "f24", "ordinal": 0, "thread_ids": [0, 1, 2]}
+    monkeypatch.setattr(relational, "FLUSH_IDS", 6)
+    assert [b.num_rows for b in relational._thread_batches(iter([batch]))] == [2] * 12 + [1]
+
+    c = spark.createDataFrame([(f"f{f}", k, k, k - 1, k > 0) for f in range(25) for k in range(3)], "file_path string, ordinal int, id int, parent_id int, is_reply boolean")
+    threads = relational.thread_ids(c)
+    assert "FlatMapGroups" not in threads._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r[0], r[1], r[2]) for r in threads.collect()) == sorted((f"f{f}", 0, [0, 1, 2]) for f in range(25))

@@ -104,3 +104,24 @@ def test_archives_are_written_before_the_batch_is_read_through():
     first = next(out)
     assert first.num_rows == len(done) == archives.FLUSH_BYTES // 10_000 + 1
     assert sum(b.num_rows for b in out) + first.num_rows == 5000 and done == list(range(5000))
+
+
+class _Sizes(archives._Decoder):
+    def files(self, batches):
+        return (self.batch([{"file_path": str(b.nbytes), "comments": []}]) for b in batches)
+
+
+def test_batches_are_counted_by_bytes(spark, monkeypatch):
+    """A task's rows go to Python a few megabytes at a time, however many it has."""
+    monkeypatch.setattr(archives, "_Decoder", _Sizes)
+    files = spark.range(0, 300, 1, 1).selectExpr("'f' AS file_path", "CAST(repeat('x', 100000) AS BINARY) AS content")
+    sizes = [int(r[0]) for r in archives.parse(files, (), ("id",)).select("file_path").collect()]
+    assert sum(sizes) >= 30_000_000 and max(sizes) < 9_000_000
+
+
+def test_a_session_keeps_its_own_size_of_batches(spark):
+    own, other = spark.newSession(), spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    for s, size in ((own, "1m"), (other, str(archives.BATCH_BYTES))):
+        archives.bounded(s.range(1))
+        assert s.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == size
